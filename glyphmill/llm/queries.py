@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from .fingerprints import op10_fingerprints
 from .near_dedup import op3_near_dedup
 from .sharding import op1_sharding
+from .token_counts import op9_token_counts
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 _OP3 = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                         '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+                                                         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-             ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+             ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n FROM s),
 -- of two sets alike, each has one of the other's shingles among its first 15 in 100 (and one more)
-p AS (SELECT doc_id, unnest(list_sort(list_transform(s, x -> md5(x)))[1:len(s) - CAST(ceil(len(s) * 0.85) AS BIGINT) + 1]) AS g FROM s WHERE len(s) > 0),
+p AS (SELECT doc_id, unnest(list_sort(list_transform(s, lambda x: md5(x)))[1:len(s) - CAST(ceil(len(s) * 0.85) AS BIGINT) + 1]) AS g FROM s WHERE len(s) > 0),
 c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b USING (g) WHERE a.doc_id < b.doc_id),
 l AS (SELECT a, b FROM (SELECT a, b, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS t
       FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b) WHERE 100 * i >= 85 * (t - i)),
