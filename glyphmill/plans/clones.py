@@ -35,7 +35,7 @@ QUERIES = {"c7_exact_classes": exact_classes}
 ORACLES = {
     "c7_exact_classes": f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{TOKEN_PATTERN}') AS t FROM documents),
-g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - {WINDOW} + 2), i -> md5(array_to_string(t[i:i + {WINDOW} - 1], ' ')))) AS fingerprint
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - {WINDOW} + 2), lambda i: md5(array_to_string(t[i:i + {WINDOW} - 1], ' ')))) AS fingerprint
       FROM t WHERE len(t) >= {WINDOW})
 SELECT fingerprint, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM g GROUP BY fingerprint HAVING count(*) >= 2
 """
