@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op10_fingerprints
+from .mixing import op4_mixing
 from .near_dedup import op3_near_dedup
 from .sharding import op1_sharding
 from .token_counts import op9_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
+    "op4_mixing": op4_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
 }
@@ -33,6 +35,25 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id
 FROM n LEFT JOIN r ON r.a = n.doc_id
 """
 
+_OP4 = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size * (10 // weight), source NULLS LAST) AS i FROM w),
+l AS (SELECT *, CAST(sum(source_size) OVER () * 3 - coalesce(sum(source_size * 4) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
+             CAST(sum(weight) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weights_left FROM o),
+c AS (SELECT *, weight * rest >= source_size * 4 * weights_left AS capped FROM l),
+f AS (SELECT * FROM c WHERE NOT capped ORDER BY i LIMIT 1),
+t AS (SELECT c.source, c.source_size, CASE WHEN c.capped THEN CAST(2 * c.source_size AS DOUBLE)
+             ELSE CAST(c.weight * f.rest AS DOUBLE) / CAST(f.weights_left * 2 AS DOUBLE) END AS target FROM c LEFT JOIN f ON true),
+p AS (SELECT d.*, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * ((start + size / 2.0 <= target)::INT + (start + source_size + size / 2.0 <= target)::INT) AS BIGINT) AS taken FROM p
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_mixing": _OP4,
     "op3_near_dedup": _OP3,
 }

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import extended, prepare, table, without
 
 #: The training sample is bounded: so many labelled documents, so many characters in all.
-TRAIN_DOCS = 5000
-TRAIN_CHARS = 16_000_000
+TRAIN_DOCS = 4000
+TRAIN_CHARS = 12_000_000
 #: Features of the model at most.
 MOST_FEATURES = 1 << 16
 STEPS = 120
