@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .chat_format import op7_chat_format
 from .fingerprints import op10_fingerprints
 from .mixing import op4_mixing
 from .near_dedup import op3_near_dedup
 from .sharding import op1_sharding
 from .token_counts import op9_token_counts
+from .topk import op6_topk
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
     "op4_mixing": op4_mixing,
+    "op6_topk": op6_topk,
+    "op7_chat_format": op7_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
 }
@@ -53,7 +57,17 @@ SELECT doc_id, size, source_size, target,
        CAST(size * ((start + size / 2.0 <= target)::INT + (start + source_size + size / 2.0 <= target)::INT) AS BIGINT) AS taken FROM p
 """
 
+_OP6 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_topk": _OP6,
     "op4_mixing": _OP4,
     "op3_near_dedup": _OP3,
 }
