@@ -6,6 +6,7 @@ from .chat_format import op7_chat_format
 from .fingerprints import op10_fingerprints
 from .mixing import op4_mixing
 from .near_dedup import op3_near_dedup
+from .pii import op8_pii
 from .sharding import op1_sharding
 from .token_counts import op9_token_counts
 from .topk import op6_topk
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_topk": op6_topk,
     "op7_chat_format": op7_chat_format,
+    "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
 }
