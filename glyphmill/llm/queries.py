@@ -7,6 +7,7 @@ from .fingerprints import op10_fingerprints
 from .mixing import op4_mixing
 from .near_dedup import op3_near_dedup
 from .pii import op8_pii
+from .sentencepiece_codec import op5_sentencepiece
 from .sharding import op1_sharding
 from .token_counts import op9_token_counts
 from .topk import op6_topk
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
     "op4_mixing": op4_mixing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_topk": op6_topk,
     "op7_chat_format": op7_chat_format,
     "op8_pii": op8_pii,
