@@ -94,7 +94,8 @@ def mix(df: DataFrame, size: Column | None = None, weights=WEIGHTS, schedules=SC
     """
     df = without(df, "size", "source_size", "target", "repeats", "taken", "positions")
     size = word_count(F.col("text")) if size is None else size
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col("source").alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"), size.alias("size"))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col("source").alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"), size.alias("size"), tie.alias("tie"))
     sized = df.select(F.col("source").alias("source"), size.alias("size"))
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most)
     known = rows.join(_small(aims.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -105,7 +106,7 @@ def mix(df: DataFrame, size: Column | None = None, weights=WEIGHTS, schedules=SC
     sums = sums.withColumn("start", F.sum("part_size").over(Window.partitionBy("source").orderBy("part")) - F.col("part_size"))
     sums = sums.select(F.col("source").alias("of"), F.col("part").alias("of_part"), "start")
     sums = _small(sums)
-    within = Window.partitionBy("source", "part").orderBy("place", "size", F.xxhash64("row"))
+    within = Window.partitionBy("source", "part").orderBy("place", "size", "tie")
     numbered = known.withColumn("inner", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = numbered.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
     offset = F.col("start") + F.col("inner")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, prepare, shingle_hashes, slices, table, without, word_hashes
+from .common import cut, mix64, prepare, shingle_hashes, slices, table, word_hashes
 from .components import connected_components
 
 BANDS, ROWS = 32, 6
@@ -36,6 +36,8 @@ WORDS_OF_BITS = HASHES // 64
 MOST_BITS = 45
 #: Pairs that one copy of a hub's text serves.
 PAIRS_A_HUB = 128
+#: Ids up to which those that keep_one() drops are broadcast.
+MOST_BROADCAST = 500_000
 
 _seeds = np.random.Generator(np.random.PCG64(20240607))
 _A = (_seeds.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -191,11 +193,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """docs without the documents that near-duplicate one of a smaller doc_id; one row a kept doc_id.
-    Rows of a null doc_id stay."""
-    marked = near_duplicates(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    left = docs.join(marked, F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
-    return left
+    """docs with one row of each component of near-duplicates: that of the smallest doc_id (any one of its
+    rows, where a doc_id repeats). Rows of a null doc_id stay."""
+    marked = near_duplicates(docs, k, threshold)
+    ids = marked.where("doc_id is not null").groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    odd = cut(ids.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), "kept"))
+    # only ids whose rows go or repeat; by broadcast if they are few
+    side = F.broadcast(odd) if odd.count() <= MOST_BROADCAST else odd
+    joined = docs.join(side, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    kept = joined.where("__id is null").select(*docs.columns)
+    again = odd.where("kept")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(again, F.col("doc_id").cast("long") == F.col("__id")).select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
