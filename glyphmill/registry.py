@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans.clones import ORACLES as _clones_sql
-from .plans.clones import QUERIES as _clones
+from .plans import clones, texts
 from .plans.clones import exact_classes
 
-QUERIES = {**_clones}
-ORACLES = {**_clones_sql}
+_MODULES = (texts, clones)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 
 __all__ = ["ORACLES", "QUERIES", "exact_classes"]
