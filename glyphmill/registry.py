@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import clones, graphs, texts
+from .plans import clones, graphs, lookups, similar, texts
 from .plans.clones import exact_classes
 
-_MODULES = (texts, clones, graphs)
+_MODULES = (texts, clones, graphs, similar, lookups)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 
