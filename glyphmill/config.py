@@ -1,4 +1,4 @@
-"""Settings from a .swa.json file: discovery upwards, checks, merging with given values."""
+"""Settings from a .glyphmill.json file: discovery upwards, checks, merging with given values."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
-NAME = ".swa.json"
+NAME = ".glyphmill.json"
 #: Modes, clone types and algorithms.
 MODES = ("simple", "reachability", "indexStore")
 CLONE_TYPES = ("exact", "near", "semantic")

@@ -144,3 +144,26 @@ def reference_edges(declarations: DataFrame, references: DataFrame) -> DataFrame
     inside = spans.join(at, ["file", "block"]).where(F.col("at").between(F.col("line"), F.col("end_line")))
     named = declarations.select(F.col("id").alias("dst"), F.col("name").alias("identifier"))
     return inside.join(named, "identifier").where("src <> dst").select("src", "dst", F.col("context").alias("kind")).distinct()
+
+
+def member_edges(declarations: DataFrame, compat_path_match: bool = False) -> DataFrame:
+    """(src, dst, kind): a type calls its methods; a protocol's method refers to methods of its name and kind elsewhere.
+
+    declarations: id, name, kind, scope_id, own_scope (the scope that a type opens). A method belongs to the type whose
+    scope it is in; with compat_path_match to every type whose name its scope id contains.
+    """
+    types = declarations.where(F.col("kind").isin("class", "struct", "enum", "protocol", "actor", "extension")).select(F.col("id").alias("type_id"), F.col("name").alias("type_name"), F.col("kind").alias("type_kind"), "own_scope")
+    methods = declarations.where(F.col("kind").isin("function", "method", "initializer")).select("id", "name", "kind", "scope_id")
+    owns = F.col("scope_id").contains(F.col("type_name")) if compat_path_match else F.col("scope_id") == F.col("own_scope")
+    owned = types.join(methods, owns)
+    calls = owned.where("type_kind <> 'protocol'").select(F.col("type_id").alias("src"), F.col("id").alias("dst"), F.lit("call").alias("kind"))
+    required = owned.where("type_kind = 'protocol'").select(F.col("id").alias("src"), "name", F.col("kind").alias("of_kind"), F.col("scope_id").alias("own"))
+    witnesses = required.join(methods.select(F.col("id").alias("dst"), "name", F.col("kind").alias("of_kind"), "scope_id"), ["name", "of_kind"]).where("scope_id <> own")
+    return calls.unionByName(witnesses.select("src", "dst", F.lit("typeReference").alias("kind"))).distinct()
+
+
+def index_edges(occurrences: DataFrame, definition: int, reference: int) -> DataFrame:
+    """occurrences(usr, container, roles) to edges from the containing symbol to the symbol it uses, where that is defined."""
+    defined = occurrences.where(F.col("roles").bitwiseAND(F.lit(definition)) != 0).select("usr").distinct()
+    used = occurrences.where((F.col("roles").bitwiseAND(F.lit(reference)) != 0) & F.col("container").isNotNull() & (F.col("container") != F.col("usr")))
+    return used.join(defined, "usr", "left_semi").select(F.col("container").alias("src"), F.col("usr").alias("dst")).distinct()

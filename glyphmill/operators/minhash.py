@@ -123,3 +123,21 @@ def groups(pairs: DataFrame) -> DataFrame:
     similarity = pairs.join(found, pairs["id1"] == found["node"]).groupBy("component").agg(F.avg("similarity").alias("similarity"))
     members = found.groupBy("component").agg(F.count("*").alias("members"), F.array_join(F.sort_array(F.collect_set("node")), "-").alias("fingerprint"))
     return members.join(similarity, "component").select("component", "members", "similarity", "fingerprint")
+
+
+def similar_to(signatures: DataFrame, wanted: DataFrame, bands: int, rows: int, threshold: float, probes: int = 0) -> DataFrame:
+    """signatures, wanted (id, sig) to (query, id, similarity): rows that share a band with a query, by signature
+    similarity from the threshold on. probes: further keys of each band, made by leaving out one row each, so that a
+    band that differs in that row only is still met."""
+
+    def keys(df: DataFrame) -> DataFrame:
+        whole = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.lit(-1).alias("without"), F.slice("sig", b * rows + 1, rows).alias("key")))
+        out = [whole]
+        for r in range(min(probes, rows)):
+            left_out = lambda b, r=r: F.concat(F.slice("sig", b * rows + 1, F.lit(r)), F.slice("sig", b * rows + 2 + r, F.lit(rows - r - 1)))
+            out.append(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b, f=left_out, r=r: F.struct(b.alias("band"), F.lit(r).alias("without"), f(b).alias("key"))))
+        return df.select("id", "sig", F.explode(F.concat(*out)).alias("k")).select("id", "sig", "k.*")
+
+    mine = keys(wanted).select(F.col("id").alias("query"), F.col("sig").alias("wanted"), "band", "without", "key")
+    met = keys(signatures).join(mine, ["band", "without", "key"]).where("id <> query").select("query", "id", "sig", "wanted").dropDuplicates(["query", "id"])
+    return met.select("query", "id", signature_similarity(F.col("sig"), F.col("wanted")).alias("similarity")).where(F.col("similarity") >= threshold)

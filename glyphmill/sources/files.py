@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import matches_glob
 
 #: Directories that a scan leaves out.
-EXCLUDED_DIRS = (".build", "build", "DerivedData", ".git", "Pods", "Carthage", ".swiftpm")
+EXCLUDED_DIRS = (".build", "Build", "DerivedData", ".swiftpm", "Pods", "Carthage", ".git")
 #: Files beyond this many bytes are listed but not counted.
 MOST_BYTES = 64 << 20
 
@@ -69,13 +69,16 @@ def token_table(files: DataFrame) -> DataFrame:
     return files.select("file", "text").mapInPandas(run, "file string, pos int, kind string, text string, line int, col int")
 
 
-def declaration_table(files: DataFrame) -> DataFrame:
+def declaration_table(files: DataFrame, directive: str = "analysis:ignore") -> DataFrame:
     """Declarations by keyword and brace depth: (file, name, kind, access, line, col, end_line, scope_id, parent_id,
-    attributes, modifiers, ignore_directives). A lexical reading: no types, no macros."""
+    attributes, modifiers, ignore_directives). A lexical reading: no types, no macros. A comment that holds the directive
+    (directive-name for one category) on the declaration's line or the one above makes it ignored."""
+    marked = re.compile(re.escape(directive) + r"(?:-([\w-]+))?")
+
 
     def declared(file: str, text: str) -> list[tuple]:
         toks, out, stack = list(lex(text)), [], [(f"{file}:0", 0)]
-        directives = {n: re.findall(r"swa:ignore(?:-([\w-]+))?", s) for n, s in enumerate(text.split("\n"), 1) if "swa:ignore" in s}
+        directives = {n: marked.findall(s) for n, s in enumerate(text.split("\n"), 1) if directive in s}
         attributes, modifiers, access, depth, open_scopes = [], [], "internal", 0, {}
         for i, (kind, word, line, col) in enumerate(toks):
             if word.startswith("@") and len(word) > 1:

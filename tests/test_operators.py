@@ -186,7 +186,7 @@ def test_notes_join_their_graver_neighbour(spark):
 
 
 SOURCE = '''import Foundation
-// swa:ignore
+// analysis:ignore
 func unusedOne() { let x = 1 }
 public struct Shop {
     static var open = "a // b"
