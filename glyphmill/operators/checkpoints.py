@@ -7,11 +7,22 @@ import tempfile
 from pyspark.sql import DataFrame
 
 _SETTING = "spark.checkpoint.dir"
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir (an own one only where that is unset)."""
-    sc = df.sparkSession.sparkContext
+    """df, written to the folder of spark.checkpoint.dir (an own one only where that is unset).
+
+    A checkpoint carries the constraints of the plan it replaces, and those of a loop's rounds multiply; so none are
+    inferred while it is made.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get(_SETTING, None) or tempfile.mkdtemp(prefix="glyphmill-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get(_SETTING, None) or tempfile.mkdtemp(prefix="glyphmill-"))
+    before = spark.conf.get(_CONSTRAINTS)
+    spark.conf.set(_CONSTRAINTS, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CONSTRAINTS, before)

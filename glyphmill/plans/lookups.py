@@ -170,7 +170,7 @@ ORACLES = {
     "s3_qualified": f"WITH {_S} SELECT id FROM sym WHERE name = 'fetch1' AND s_nationkey = (SELECT s_nationkey FROM supplier WHERE s_suppkey = 1)",
     "s4_selector": f"WITH {_S} SELECT id FROM sym WHERE name = 'fetch2' AND id % 3 = 0",
     "s6_regex": f"WITH {_S} SELECT id FROM sym WHERE regexp_full_match(name, 'fetch[1-4]') ORDER BY file, line LIMIT 50",
-    "s11_batch": f"WITH {_S} SELECT 'a' AS query, count(*) AS n FROM sym WHERE name = 'fetch1' UNION ALL SELECT 'b', count(*) FROM sym WHERE regexp_matches(name, '^fetch[0-2]$') UNION ALL SELECT 'c', count(*) FROM sym WHERE name = 'fetch2' AND id % 3 = 1 UNION ALL SELECT 'd', count(*) FROM sym WHERE id = 7",
+    "s11_batch": f"WITH {_S}, x AS (SELECT 'a' AS query, count(*) AS n FROM sym WHERE name = 'fetch1' UNION ALL SELECT 'b', count(*) FROM sym WHERE regexp_matches(name, '^fetch[0-2]$') UNION ALL SELECT 'c', count(*) FROM sym WHERE name = 'fetch2' AND id % 3 = 1 UNION ALL SELECT 'd', count(*) FROM sym WHERE id = 7) SELECT * FROM x WHERE n > 0",
     "s7_trigram": "SELECT c_custkey AS id FROM customer WHERE regexp_matches(c_mktsegment, '^BUILD.*G$')",
     "s6_regex_search": "SELECT p_partkey AS id FROM part WHERE regexp_matches(p_name, 'l.*idge[a-z]|^s[a-z]+ ring$')",
     "s8_usr": f"WITH {_O} SELECT usr, file, line, col FROM (SELECT *, row_number() OVER (PARTITION BY usr ORDER BY roles & 2 <> 0 DESC, file, line, col) AS n FROM occ) WHERE n = 1",
