@@ -13,7 +13,7 @@ from glyphmill.llm.common import cut, table
 from glyphmill.llm.mixing import mix, training_order
 from glyphmill.llm.near_dedup import keep_one
 from glyphmill.llm.pii import pseudonymise
-from glyphmill.llm.sentencepiece_codec import decode, encode
+from glyphmill.llm.sentencepiece_codec import encode
 from glyphmill.llm.toxicity import score_documents, train
 
 
@@ -42,7 +42,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents with piece_ids and, read back from them, decoded."""
-    return decode(encode(docs))
+    return encode(docs, read_back=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("sentencepiece", sentencepiece)]

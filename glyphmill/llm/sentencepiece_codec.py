@@ -29,9 +29,11 @@ from .common import extended, prepare, slices, table, without
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Units, parts and pairs of pieces that a Python worker remembers at most; when there are more, it starts anew.
-MOST_KNOWN = 1 << 19
+MOST_KNOWN = 1 << 17
 #: Characters in one suffix array, where a part is not longer.
-INDEX_CHARS = 1 << 19
+INDEX_CHARS = 1 << 17
+#: Bytes of texts that a task encodes at once, where a text is not longer.
+STEP_BYTES = 1 << 20
 _UNITS = regex.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -233,22 +235,25 @@ def load(name: str) -> PieceModel:
     return PieceModel(public_tokenizers.path(name))
 
 
-def encode(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """df with piece_ids (array<int>) of the whole text. Null and empty texts have no pieces. A row in, a row
-    out; a column of that name is replaced."""
+def encode(df: DataFrame, text: str = "text", model: str = MODEL, read_back: bool = False) -> DataFrame:
+    """df with piece_ids (array<int>) of the whole text and, if asked, decoded (their text, read back in the same
+    pass). Null and empty texts have no pieces. A row in, a row out; columns of these names are replaced."""
     prepare(df.sparkSession)
-    df = without(df, "piece_ids")
+    added = {"piece_ids": "array<int>"} | ({"decoded": "string"} if read_back else {})
+    df = without(df, *added)
 
     def run(batches):
         own = load(model)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, STEP_BYTES):
                 ids = own.encode([t or "" for t in part.column(text).to_pylist()])
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(part.num_columns)], lists], names=[*part.schema.names, "piece_ids"])
+                new = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))]
+                if read_back:
+                    new.append(pa.array([own.decode(x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(part.num_columns)], *new], names=[*part.schema.names, *added])
 
-    return df.mapInArrow(run, extended(df, piece_ids="array<int>"))
+    return df.mapInArrow(run, extended(df, **added))
 
 
 def decode(df: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataFrame:
@@ -260,7 +265,7 @@ def decode(df: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataFra
         own = load(model)
         n = len(own.surface)
         for batch in batches:
-            texts = [None if x is None else own.decode([i for i in x if i is not None and 0 <= i < n]) for x in batch.column(ids).to_pylist()]
+            texts = [own.decode([i for i in x.as_py() if i is not None and 0 <= i < n]) if x.is_valid else None for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns)], pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return df.mapInArrow(run, extended(df, decoded="string"))
@@ -268,5 +273,5 @@ def decode(df: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataFra
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs))
+    out = encode(docs, read_back=True)
     return out.selectExpr("doc_id", "cast(size(piece_ids) as bigint) as n_pieces", "piece_ids", "decoded", "decoded = coalesce(text, '') as round_trip")
