@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,28 +55,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words [^\\x20\\x09-\\x0D]+ of texts (A-Z lower-cased if asked; null: empty)
-    and offsets: text i has the words offsets[i]:offsets[i + 1]."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-    offsets = offsets - offsets[0]
-    if isinstance(flat, pa.ChunkedArray):
-        flat = flat.combine_chunks()
-    coded = flat.dictionary_encode()
-    unique = coded.dictionary.to_pylist()
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in unique), np.uint64, len(unique))
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    real = np.array([w != "" for w in unique], bool)
-    if not real.all():  # a text that begins or ends with white space gives empty parts
-        keep = real[codes]
-        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-        codes = codes[keep]
-    return hashed[codes], offsets
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_known = _Hashes()
+_MOST_KNOWN = 1 << 19
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words [^\\x20\\x09-\\x0D]+ of texts (A-Z lower-cased; null: empty) and offsets:
+    text i has the words offsets[i]:offsets[i + 1]."""
+    # lower() and split() of bytes know ASCII's letters and white space only
+    words = [(t or "").encode().lower().split() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int64)
+    if len(_known) > _MOST_KNOWN:
+        _known.clear()
+    return np.fromiter(map(_known.__getitem__, chain.from_iterable(words)), np.uint64, int(offsets[-1])), offsets
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:

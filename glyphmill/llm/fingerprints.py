@@ -31,7 +31,7 @@ def sketches(texts: list[str | None], k: int = K, words: int = WORDS) -> list[np
     """Bottom-k sketch of each text; a text without words has an empty one."""
     if not texts:
         return []
-    return [s[:k].copy() for s in shingle_hashes(*word_hashes(pa.array(texts, pa.string())), words)]
+    return [s[:k].copy() for s in shingle_hashes(*word_hashes(texts), words)]
 
 
 def merge(*parts: np.ndarray, k: int = K) -> np.ndarray:

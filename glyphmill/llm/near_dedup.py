@@ -75,7 +75,7 @@ def _signed(k: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_hashes(*word_hashes(part.column("text")), k)
+                sets = shingle_hashes(*word_hashes(part.column("text").to_pylist()), k)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 signatures = np.stack([minima(sets[i]) for i in full]) if len(full) else np.empty((0, HASHES), np.uint32)
@@ -101,7 +101,7 @@ def _confirmed(num: int, den: int, k: int):
         for batch in batches:
             hubs, members = [], []
             for part in slices(batch, "text"):
-                sets = shingle_hashes(*word_hashes(part.column("text")), k)
+                sets = shingle_hashes(*word_hashes(part.column("text").to_pylist()), k)
                 for hub, member, own in zip(part.column("hub").to_pylist(), part.column("member").to_pylist(), sets, strict=True):
                     if member is None:
                         known[hub] = own
@@ -197,12 +197,12 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(8, 10))
     rows, where a doc_id repeats). Rows of a null doc_id stay."""
     marked = near_duplicates(docs, k, threshold)
     ids = marked.where("doc_id is not null").groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
-    odd = cut(ids.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), "kept"))
+    odd = cut(ids.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")))
     # only ids whose rows go or repeat; by broadcast if they are few
     side = F.broadcast(odd) if odd.count() <= MOST_BROADCAST else odd
     joined = docs.join(side, F.col("doc_id").cast("long") == F.col("__id"), "left")
     kept = joined.where("__id is null").select(*docs.columns)
-    again = odd.where("kept")
+    again = odd.where("__kept")
     if again.isEmpty():
         return kept
     return kept.unionByName(docs.join(again, F.col("doc_id").cast("long") == F.col("__id")).select(*docs.columns).dropDuplicates(["doc_id"]))
