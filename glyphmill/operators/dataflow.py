@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _ENTRY = "entry"
 
@@ -28,7 +30,22 @@ def use_def(statements: DataFrame) -> DataFrame:
 
 
 def _grouped(statements: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
-    return statements.groupBy("fn").cogroup(edges.groupBy("fn")).applyInPandas(run, schema)
+    """run(fn, statements in order, edges) to rows, for every function; a batch holds many functions, each as one row."""
+    packed = lambda df, name: df.select("fn", F.struct(*[c for c in df.columns if c != "fn"]).alias(name))
+    both = packed(statements, "s").unionByName(packed(edges, "e"), allowMissingColumns=True)
+    functions = both.groupBy("fn").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    into = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(found):
+        for batch in found:
+            rows = []
+            for x in batch.to_pylist():
+                code = sorted((Row(**r) for r in x["s"]), key=lambda r: (r.block, r.idx))
+                rows += run(x["fn"], code, [Row(**r) for r in x["e"]])
+            columns = zip(*rows, strict=True) if rows else [[] for _ in into]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, into, strict=True)], schema=into)
+
+    return functions.mapInArrow(batches, schema)
 
 
 def _fixpoint(blocks, before: dict, step) -> None:
@@ -63,15 +80,14 @@ def reverse_post_order(blocks: list[str], successors: dict[str, list[str]], entr
 def live_variables(statements: DataFrame, edges: DataFrame) -> DataFrame:
     """(fn, block, live_in, live_out), sorted names. Backwards: in = use + (out - def), out = union of successors' in."""
 
-    def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        fn = (s["fn"] if len(s) else e["fn"]).iloc[0]
+    def run(fn, s: list[Row], e: list[Row]) -> list[tuple]:
         use, define = defaultdict(set), defaultdict(set)
-        for row in s.sort_values(["block", "idx"]).itertuples():
+        for row in s:
             use[row.block] |= set(row.uses) - define[row.block]
             define[row.block] |= set(row.defs)
-        blocks = sorted(set(s["block"]) | set(e["src"]) | set(e["dst"]))
+        blocks = sorted({r.block for r in s} | {r.src for r in e} | {r.dst for r in e})
         successors = defaultdict(list)
-        for row in e.itertuples():
+        for row in e:
             successors[row.src].append(row.dst)
         live_in: dict[str, set] = {b: set() for b in blocks}
         out = lambda b: set().union(*(live_in[x] for x in successors[b]))
@@ -83,7 +99,7 @@ def live_variables(statements: DataFrame, edges: DataFrame) -> DataFrame:
             return changed
 
         _fixpoint(blocks, {b: successors[b] for b in blocks}, step)
-        return pd.DataFrame([(fn, b, sorted(live_in[b]), sorted(out(b))) for b in blocks], columns=["fn", "block", "live_in", "live_out"])
+        return [(fn, b, sorted(live_in[b]), sorted(out(b))) for b in blocks]
 
     return _grouped(statements, edges, run, "fn long, block string, live_in array<string>, live_out array<string>")
 
@@ -106,15 +122,14 @@ def dead_stores(statements: DataFrame, live: DataFrame) -> DataFrame:
 def reaching_definitions(statements: DataFrame, edges: DataFrame) -> DataFrame:
     """(fn, block, reaching): definitions name@block:idx that reach the block's begin, sorted."""
 
-    def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        fn = (s["fn"] if len(s) else e["fn"]).iloc[0]
+    def run(fn, s: list[Row], e: list[Row]) -> list[tuple]:
         gen: dict[str, dict[str, str]] = defaultdict(dict)
-        for row in s.sort_values(["block", "idx"]).itertuples():
+        for row in s:
             for name in row.defs:
                 gen[row.block][name] = f"{name}@{row.block}:{row.idx}"
-        blocks = sorted(set(s["block"]) | set(e["src"]) | set(e["dst"]))
+        blocks = sorted({r.block for r in s} | {r.src for r in e} | {r.dst for r in e})
         before = defaultdict(list)
-        for row in e.itertuples():
+        for row in e:
             before[row.dst].append(row.src)
         out: dict[str, set] = {b: set(gen[b].values()) for b in blocks}
         into = lambda b: set().union(*(out[x] for x in before[b]))
@@ -126,7 +141,7 @@ def reaching_definitions(statements: DataFrame, edges: DataFrame) -> DataFrame:
             return changed
 
         _fixpoint(blocks, {b: before[b] for b in blocks}, step)
-        return pd.DataFrame([(fn, b, sorted(into(b))) for b in blocks], columns=["fn", "block", "reaching"])
+        return [(fn, b, sorted(into(b))) for b in blocks]
 
     return _grouped(statements, edges, run, "fn long, block string, reaching array<string>")
 
@@ -157,14 +172,13 @@ def constants(statements: DataFrame, edges: DataFrame, entry: str = _ENTRY) -> D
     def meet(a, b):
         return b if a is top else a if b is top else a if a == b and type(a) is type(b) else bottom
 
-    def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        fn = (s["fn"] if len(s) else e["fn"]).iloc[0]
+    def run(fn, s: list[Row], e: list[Row]) -> list[tuple]:
         code, outward = defaultdict(list), defaultdict(list)
-        for row in s.sort_values(["block", "idx"]).itertuples():
+        for row in s:
             code[row.block].append(row)
-        for row in e.itertuples():
+        for row in e:
             outward[row.src].append((row.dst, row.label))
-        blocks = sorted(set(s["block"]) | set(e["src"]) | set(e["dst"]))
+        blocks = sorted({r.block for r in s} | {r.src for r in e} | {r.dst for r in e})
         state: dict[str, dict] = {entry: {}}
         todo = [entry]
         while todo:
@@ -201,8 +215,8 @@ def constants(statements: DataFrame, edges: DataFrame, entry: str = _ENTRY) -> D
         rows = []
         for b in blocks:
             known = {n: str(v).lower() if isinstance(v, bool) else str(v) for n, v in sorted(state.get(b, {}).items()) if v is not bottom}
-            rows.append((fn, b, b in state, known))
-        return pd.DataFrame(rows, columns=["fn", "block", "reachable", "values"])
+            rows.append((fn, b, b in state, list(known.items())))
+        return rows
 
     return _grouped(statements, edges, run, "fn long, block string, reachable boolean, values map<string,string>")
 
