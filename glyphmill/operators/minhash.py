@@ -13,6 +13,8 @@ from .graph import components
 #: Fixed value: the Mersenne prime by which signatures are folded.
 MERSENNE = (1 << 61) - 1
 _MASK = (1 << 64) - 1
+#: Queries up to which their signatures are broadcast.
+MOST_BROADCAST = 20_000
 
 
 def split_mix(seed: int):
@@ -136,8 +138,12 @@ def similar_to(signatures: DataFrame, wanted: DataFrame, bands: int, rows: int,
         for r in range(min(probes, rows)):
             left_out = lambda b, r=r: F.concat(F.slice("sig", b * rows + 1, F.lit(r)), F.slice("sig", b * rows + 2 + r, F.lit(rows - r - 1)))
             out.append(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b, f=left_out, r=r: F.struct(b.alias("band"), F.lit(r).alias("without"), f(b).alias("key"))))
-        return df.select("id", "sig", F.explode(F.concat(*out)).alias("k")).select("id", "sig", "k.*")
-
-    mine = keys(wanted).select(F.col("id").alias("query"), F.col("sig").alias("wanted"), "band", "without", "key")
-    met = keys(signatures).join(mine, ["band", "without", "key"]).where("id <> query").select("query", "id", "sig", "wanted").dropDuplicates(["query", "id"])
-    return met.select("query", "id", signature_similarity(F.col("sig"), F.col("wanted")).alias("similarity")).where(F.col("similarity") >= threshold)
+        return df.select("id", F.explode(F.concat(*out)).alias("k")).select("id", "k.*")
+
+    # the pairs meet without their signatures, of which each id has but one
+    mine = keys(wanted).withColumnRenamed("id", "query")
+    met = keys(signatures).join(mine, ["band", "without", "key"]).where("id <> query").select("query", "id").distinct()
+    asked = wanted.select(F.col("id").alias("query"), F.col("sig").alias("wanted"))
+    asked = F.broadcast(asked) if wanted.count() <= MOST_BROADCAST else asked
+    both = met.join(signatures.select("id", "sig"), "id").join(asked, "query")
+    return both.select("query", "id", signature_similarity(F.col("sig"), F.col("wanted")).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -42,20 +42,25 @@ def index_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.index_edges(rows, 2, 4)
 
 
+#: Values of a signature, and the bands and rows that the operator chooses for them at similarity 0.5.
+WIDTH = 256
+BANDS, ROWS = minhash.bands_and_rows(WIDTH, 0.5)
+
+
 def _signed(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as signatures of 4 bands of 2 rows, of small numbers so that bands meet."""
+    """Orders as signatures, of small numbers so that bands meet."""
     k = F.col("o_orderkey")
-    values = [(F.floor(k / (3 + i)) % 7).cast("long") for i in range(8)]
-    return _t(spark, d, "orders").where("o_orderkey % 10 = 0").select(k.alias("id"), F.array(*values).alias("sig"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: (F.floor(k / (3 + i)) % 7).cast("long"))
+    return _t(spark, d, "orders").select(k.alias("id"), values.alias("sig"))
 
 
 def similar_to(spark: SparkSession, d: str) -> DataFrame:
     rows = _signed(spark, d)
-    return minhash.similar_to(rows, rows.where("id % 500 = 0"), 4, 2, 0.5)
+    return minhash.similar_to(rows, rows.where("id % 20 = 0"), BANDS, ROWS, 0.5)
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return minhash.candidates(_signed(spark, d).where("id % 50 = 0"), 4, 2)
+    return minhash.candidates(_signed(spark, d), BANDS, ROWS)
 
 
 def estimates(spark: SparkSession, d: str) -> DataFrame:

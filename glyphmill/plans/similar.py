@@ -32,8 +32,8 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
-    few = _hashes(spark, d)
-    return few.select("id", F.posexplode(minhash.signature(F.col("hashes"), 4)).alias("i", "value")).select("id", F.col("i").cast("long").alias("i"), "value")
+    docs = _hashes(spark, d)
+    return docs.select("id", F.posexplode(minhash.signature(F.col("hashes"))).alias("i", "value")).select("id", F.col("i").cast("long").alias("i"), "value")
 
 
 def verified(spark: SparkSession, d: str) -> DataFrame:

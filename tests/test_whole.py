@@ -1,7 +1,10 @@
 """Queries over whole tables: against their SQL without its cuts, or against naive versions."""
 
+import numpy as np
 import pytest
 
+from glyphmill.operators import minhash
+from glyphmill.plans import similar
 from glyphmill.registry import ORACLES, QUERIES
 
 from .conftest import SF
@@ -18,3 +21,33 @@ def _equal(spark, duck, name, sql):  # noqa: F811
 @pytest.mark.parametrize("name", ["d2_use_def", "d4_live", "d4_dead_stores", "d6_reach_defs"])
 def test_data_flow_of_all_functions(spark, duck, name):  # noqa: F811
     _equal(spark, duck, name, ORACLES[name].replace(" WHERE l_orderkey % 20 = 0", ""))
+
+
+def test_all_minima(spark):
+    a, b = (x.tolist() for x in minhash.coefficients(256))
+    fold = lambda x: (x & minhash.MERSENNE) + (x >> 61)
+    docs = {r.id: r.hashes for r in similar._hashes(spark, SF).collect()}
+    found = {(r.id, r.i): r.value for r in QUERIES["m3_signatures"](spark, SF).collect()}
+    assert len(found) == 256 * len(docs)
+    for doc in sorted(docs, key=lambda x: len(docs[x]))[::20]:
+        for i in range(256):
+            want = min(y - minhash.MERSENNE if (y := fold((a[i] * x + b[i]) % (1 << 64))) >= minhash.MERSENNE else y for x in docs[doc])
+            assert found[doc, i] == want
+
+
+def test_signatures_of_all_orders(spark):
+    keys = sorted(r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect())
+    sigs = np.array([[k // (3 + i) % 7 for i in range(256)] for k in keys], np.int8)
+    bands, rows = minhash.bands_and_rows(256, 0.5)
+    pairs, near = set(), {}
+    for x, k in enumerate(keys):
+        same = sigs == sigs[x]
+        for y in np.flatnonzero(same[:, : bands * rows].reshape(len(keys), bands, rows).all(2).any(1)):
+            if k < keys[y]:
+                pairs.add((k, keys[y]))
+            if k % 20 == 0 and y != x and same[y].mean() >= 0.5:
+                near[k, keys[y]] = same[y].mean()
+    assert {(r.id1, r.id2) for r in QUERIES["m9_candidates"](spark, SF).collect()} == pairs
+    assert {(r["query"], r.id): r.similarity for r in QUERIES["m10_similar_to"](spark, SF).collect()} == near
+    at = {k: s for k, s in zip(keys, sigs, strict=True)}
+    assert {r.id: r.similarity for r in QUERIES["m4_estimate"](spark, SF).collect()} == {k: (at[k] == at[k + 10]).mean() for k in keys if k + 10 in at}
