@@ -146,8 +146,7 @@ def symbol_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_usage(spark: SparkSession, d: str) -> DataFrame:
-    few = _references(spark, d).where("line % 7 = 0")
-    return unused.name_usage(_declarations(spark, d), few).select("id", "reason")
+    return unused.name_usage(_declarations(spark, d), _references(spark, d)).select("id", "reason")
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:

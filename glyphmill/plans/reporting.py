@@ -32,7 +32,7 @@ def wrappers(spark: SparkSession, d: str) -> DataFrame:
 def member_edges(spark: SparkSession, d: str) -> DataFrame:
     nation, customer = _t(spark, d, "nation"), _t(spark, d, "customer")
     types = nation.select((-F.col("n_nationkey") - 1).cast("long").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, "protocol").otherwise("class").alias("kind"), F.lit("file:0").alias("scope_id"), F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("own_scope"))
-    methods = customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("m"), (F.col("c_custkey") % 70).cast("string")).alias("name"), F.lit("method").alias("kind"), F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("scope_id"), F.lit(None).cast("string").alias("own_scope"))
+    methods = customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("m"), (F.col("c_custkey") % 70).cast("string")).alias("name"), F.lit("method").alias("kind"), F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("scope_id"), F.lit(None).cast("string").alias("own_scope"))
     return graph.member_edges(types.unionByName(methods))
 
 

@@ -51,3 +51,8 @@ def test_signatures_of_all_orders(spark):
     assert {(r["query"], r.id): r.similarity for r in QUERIES["m10_similar_to"](spark, SF).collect()} == near
     at = {k: s for k, s in zip(keys, sigs, strict=True)}
     assert {r.id: r.similarity for r in QUERIES["m4_estimate"](spark, SF).collect()} == {k: (at[k] == at[k + 10]).mean() for k in keys if k + 10 in at}
+
+
+def test_all_references_and_methods(spark, duck):  # noqa: F811
+    _equal(spark, duck, "u9_self_ref", ORACLES["u9_self_ref"].replace(" WHERE line % 7 = 0", ""))
+    _equal(spark, duck, "g5_member_edges", ORACLES["g5_member_edges"].replace(" WHERE c_custkey % 10 = 0", ""))
