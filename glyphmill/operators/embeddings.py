@@ -97,10 +97,34 @@ def cohesion(rows: DataFrame) -> DataFrame:
     return out.select("module", "members", inside.alias("inside"), across.alias("across"), (inside - across).alias("cohesion"))
 
 
-def least_cosines(rows: DataFrame, group: str) -> DataFrame:
-    """Smallest pairwise cosine in each (small) group; groups of one member are left out."""
-    other = rows.select(group, F.col("id").alias("id2"), F.col("v").alias("w"))
-    return rows.join(other, group).where("id < id2").groupBy(group).agg(F.min(cosine(F.col("v"), F.col("w"))).alias("least"))
+def least_cosines(rows: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
+    """Smallest pairwise cosine in each group; groups of one member are left out.
+
+    Members are dealt in blocks of about `block`; each pair of a group's blocks meets in one matrix product and
+    passes on one number.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = rows.select(group, "id", "v").join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    packed = dealt.groupBy(group, "block").agg(F.collect_list(F.struct("id", "v")).alias("m"))
+    other = packed.select(group, F.col("block").alias("other"), F.col("m").alias("n"))
+
+    @F.pandas_udf("double")
+    def least(ids: pd.Series, vs: pd.Series, names: pd.Series, ws: pd.Series) -> pd.Series:
+        out = []
+        for left, v, right, w in zip(ids, vs, names, ws, strict=True):
+            v, w = ([np.asarray([] if x is None else x, float) for x in side] for side in (v, w))
+            scores = np.zeros((len(v), len(w)))
+            for size in {len(x) for x in v} & {len(x) for x in w} - {0}:
+                i, j = ([k for k, x in enumerate(side) if len(x) == size] for side in (v, w))
+                a, b = np.stack([v[k] for k in i]), np.stack([w[k] for k in j])
+                scale = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+                scores[np.ix_(i, j)] = np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale != 0)
+            pairs = scores[np.asarray(left)[:, None] != np.asarray(right)[None, :]]
+            out.append(np.fmin.reduce(pairs) if len(pairs) else None)
+        return pd.Series(out, dtype="float64")
+
+    both = packed.join(other, group).where("block <= other").select(group, least("m.id", "m.v", "n.id", "n.v").alias("least"))
+    return both.where("least is not null").groupBy(group).agg(F.min("least").alias("least"))
 
 
 def max_sim(a: Column, b: Column) -> Column:

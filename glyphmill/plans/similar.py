@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams, jaccard, tokens
@@ -101,10 +101,8 @@ def cohesion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Labels as groups: kept if the least pairwise cosine of their first members is -0.5 or more."""
-    order = Window.partitionBy("module").orderBy("id")
-    first = _vectors(spark, d).withColumn("n", F.row_number().over(order)).where("n <= 4").drop("n")
-    return embeddings.least_cosines(first, "module").select("module", F.round("least", 6).alias("least"), (F.round("least", 6) >= -0.2).alias("kept"))
+    """Labels as groups: kept if the least pairwise cosine of their members is -0.2 or more."""
+    return embeddings.least_cosines(_vectors(spark, d), "module").select("module", F.round("least", 6).alias("least"), (F.round("least", 6) >= -0.2).alias("kept"))
 
 
 def shape_rerank(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from glyphmill.operators import minhash
+from glyphmill.operators import embeddings, minhash
 from glyphmill.plans import similar
 from glyphmill.registry import ORACLES, QUERIES
 
@@ -69,3 +69,12 @@ def test_graphs_of_all_line_items(spark, duck, name):  # noqa: F811
     for cut in _CUTS:
         sql = sql.replace(cut, "")
     _equal(spark, duck, name, sql)
+
+
+def test_least_cosine_of_all_members(spark, duck):  # noqa: F811
+    _equal(spark, duck, "e4_verify", ORACLES["e4_verify"].replace(" WHERE n <= 4", ""))
+    v = np.random.default_rng(5).normal(size=(60, 3))
+    df = spark.createDataFrame([(i, v[i].tolist(), i % 2) for i in range(60)] + [(60, [1.0, 0.0, 0.0], 2)], "id long, v array<double>, module int")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    found = {r.module: r.least for r in embeddings.least_cosines(df, "module", block=7).collect()}
+    assert found == pytest.approx({m: (unit[m::2] @ unit[m::2].T).min() for m in (0, 1)})
