@@ -73,8 +73,13 @@ def positional(items: Column) -> Column:
         return F.array_distinct(F.transform(F.filter(items, lambda t: t["kind"] == kind), lambda t: t["text"])), name
 
     ids, lits = first("identifier", "$ID"), first("literal", "$LIT")
-    number = lambda known, t: F.concat(F.lit(known[1]), (F.array_position(known[0], t["text"]) - 1).cast("string"))
-    return F.transform(items, lambda t: F.when(t["kind"] == "identifier", number(ids, t)).when(t["kind"] == "literal", number(lits, t)).otherwise(t["text"]))
+    number = lambda known, name, t: F.concat(F.lit(name), (F.array_position(known, t["text"]) - 1).cast("string"))
+
+    def named(known: Column) -> Column:
+        return F.transform(items, lambda t: F.when(t["kind"] == "identifier", number(known["ids"], ids[1], t)).when(t["kind"] == "literal", number(known["lits"], lits[1], t)).otherwise(t["text"]))
+
+    # as an array of one, so that the known names are found once and not for each token
+    return F.flatten(F.transform(F.array(F.struct(ids[0].alias("ids"), lits[0].alias("lits"))), named))
 
 
 def char_grams(text: Column, k: int = 9) -> Column:

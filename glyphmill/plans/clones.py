@@ -59,17 +59,17 @@ def normalised_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pattern_places(spark: SparkSession, d: str) -> DataFrame:
-    """Where the first eight tokens of each benchmark item occur in documents."""
-    first = F.slice(tokens(F.col("text")), 1, 8)
-    patterns = _t(spark, d, "benchmark").where(F.size(first) == 8).select(F.col("item_id").alias("pattern_id"), F.md5(F.array_join(first, " ").cast("binary")).alias("gram"))
+    """Where the eight-token windows of benchmark items occur in documents."""
+    items = clones.windows(_t(spark, d, "benchmark").withColumnRenamed("item_id", "pattern_id"), tokens(F.col("text")), 8, "pattern_id")
+    patterns = items.select("pattern_id", "gram").distinct()
     found = clones.pattern_places(_t(spark, d, "documents").withColumnRenamed("doc_id", "file"), tokens(F.col("text")), patterns, 8)
     return found.select("pattern_id", "file", F.col("start").cast("long").alias("start"))
 
 
 def line_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by first line as groups of locations, duplicates of one location set left out."""
-    lines = _t(spark, d, "documents").select(F.concat(F.col("source"), F.lit(":"), F.col("lang")).alias("loc"), F.substring_index("text", "\n", 1).alias("first"))
-    groups = lines.groupBy(F.md5(F.col("first").cast("binary")).alias("group")).agg(F.sort_array(F.collect_set("loc")).alias("locations"))
+    """Lines of documents as groups of locations, duplicates of one location set left out."""
+    lines = _t(spark, d, "documents").select(F.concat(F.col("source"), F.lit(":"), F.col("lang")).alias("loc"), F.explode_outer(F.split("text", "\n", -1)).alias("line"))
+    groups = lines.groupBy(F.md5(F.col("line").cast("binary")).alias("group")).agg(F.sort_array(F.collect_set("loc")).alias("locations"))
     return clones.deduplicated(groups).select("group", F.array_join("locations", "|").alias("locations"))
 
 

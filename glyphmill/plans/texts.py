@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text
 from ..functions.text import TOKEN_PATTERN
+from ..operators import minhash
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -54,9 +55,11 @@ def normalised_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def positional_blocks(spark: SparkSession, d: str) -> DataFrame:
-    head = F.slice(text.tokens(F.col("text")), 1, 12)
-    items = F.transform(head, lambda t: F.struct(text.token_kind(t).alias("kind"), t.alias("text")))
-    return _t(spark, d, "documents").select("doc_id", items.alias("items")).select("doc_id", F.array_join(text.positional(F.col("items")), " ").alias("form"))
+    """Every block of each text, as m1_blocks cuts them, in positional form."""
+    docs = _t(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    block = docs.select("doc_id", F.explode(minhash.blocks(F.col("t"), 40)).alias("b"))
+    items = F.transform("b.tokens", lambda t: F.struct(text.token_kind(t).alias("kind"), t.alias("text")))
+    return block.select("doc_id", F.col("b.start").cast("long").alias("start"), items.alias("items")).select("doc_id", "start", F.array_join(text.positional(F.col("items")), " ").alias("form"))
 
 
 def char_gram_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,13 @@
 """Queries over whole tables: against their SQL without its cuts, or against naive versions."""
 
+import hashlib
+from collections import defaultdict
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from glyphmill.functions import text
 from glyphmill.operators import embeddings, minhash
 from glyphmill.plans import similar
 from glyphmill.registry import ORACLES, QUERIES
@@ -78,3 +83,43 @@ def test_least_cosine_of_all_members(spark, duck):  # noqa: F811
     unit = v / np.linalg.norm(v, axis=1)[:, None]
     found = {r.module: r.least for r in embeddings.least_cosines(df, "module", block=7).collect()}
     assert found == pytest.approx({m: (unit[m::2] @ unit[m::2].T).min() for m in (0, 1)})
+
+
+def _tokens(spark, table, key):
+    item = F.transform(text.tokens(F.col("text")), lambda t: F.struct(text.token_kind(t), t))
+    return {r[0]: [tuple(t) for t in r[1]] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key, item).collect()}
+
+
+def test_all_positional_blocks(spark):
+    want = set()
+    for doc, found in _tokens(spark, "documents", "doc_id").items():
+        for start in range(0, len(found) - 39, 20):
+            names, form = {"identifier": {}, "literal": {}}, []
+            for kind, t in found[start : start + 40]:
+                known = names.get(kind)
+                form.append(t if known is None else ("$ID" if kind == "identifier" else "$LIT") + str(known.setdefault(t, len(known))))
+            want.add((doc, start, " ".join(form)))
+    rows = QUERIES["x8_positional_blocks"](spark, SF).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r.start, r.form) for r in rows} == want
+
+
+def test_all_passages_of_items(spark):
+    items, want = defaultdict(set), set()
+    for item, found in _tokens(spark, "benchmark", "item_id").items():
+        for i in range(len(found) - 7):
+            items[tuple(t for _, t in found[i : i + 8])].add(item)
+    for doc, found in _tokens(spark, "documents", "doc_id").items():
+        for i in range(len(found) - 7):
+            want |= {(item, doc, i) for item in items.get(tuple(t for _, t in found[i : i + 8]), ())}
+    rows = QUERIES["c5_pattern_search"](spark, SF).collect()
+    assert len(rows) == len(want) and {(r.pattern_id, r.file, r.start) for r in rows} == want
+
+
+def test_all_lines_as_groups(spark):
+    places, first = defaultdict(set), {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for line in r.text.split("\n"):
+            places[hashlib.md5(line.encode()).hexdigest()].add(f"{r.source}:{r.lang}")
+    for group, found in sorted(places.items()):
+        first.setdefault("|".join(sorted(found)), group)
+    assert {r.locations: r.group for r in QUERIES["c13_dedupe"](spark, SF).collect()} == first
