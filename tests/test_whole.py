@@ -123,3 +123,7 @@ def test_all_lines_as_groups(spark):
     for group, found in sorted(places.items()):
         first.setdefault("|".join(sorted(found)), group)
     assert {r.locations: r.group for r in QUERIES["c13_dedupe"](spark, SF).collect()} == first
+
+
+def test_anomalies_of_all_vectors(spark, duck):  # noqa: F811
+    _equal(spark, duck, "e11_anomaly", ORACLES["e11_anomaly"].replace("q.id % 5 = 0 AND ", ""))
