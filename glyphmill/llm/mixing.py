@@ -8,14 +8,15 @@ partitioned) gives the training order.
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, without
 
-#: The weight of sources by code point order, repeating.
-WEIGHTS = (5, 2, 1)
-#: Schedules whose integrals are those weights: weight at time 0 and weight at time 1.
+#: The schedules of sources by code point order, repeating: weight at time 0 and weight at time 1.
 SCHEDULES = ((7.0, 3.0), (2.0, 2.0), (0.5, 1.5))
 SHARE = (3, 2)  # 150 % of all sizes
 MOST_REPEATS = 2
@@ -32,13 +33,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST_REPEATS) -> DataFrame:
-    """sizes(source, source_size, n) to the same with weight_class and target: share of all sizes by weight, at
-    most `most` times the own size, the excess reshared by weight until none is above.
+def integrals(schedules=SCHEDULES) -> tuple[int, ...]:
+    """The schedules' integrals over time, all times the least number that makes them integers."""
+    exact = [(Fraction(a) + Fraction(b)) / 2 for a, b in schedules]
+    scale = lcm(*[x.denominator for x in exact])
+    return tuple(int(x * scale) for x in exact)
+
+
+def targets(sizes: DataFrame, schedules=SCHEDULES, share: tuple[int, int] = SHARE, most: int = MOST_REPEATS) -> DataFrame:
+    """sizes(source, source_size, n) to the same with weight_class and target: share of all sizes by weight (the
+    integral of the source's schedule), at most `most` times the own size, the excess reshared by weight until none is above.
 
     Sources whose target is capped are the first ones by most * size / weight, so one ordered pass finds them.
     All windows run over one row a source.
     """
+    weights = integrals(schedules)
     everything = Window.partitionBy()
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight_class = (F.row_number().over(by_name) - 1) % len(weights)
@@ -79,7 +88,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def mix(df: DataFrame, size: Column | None = None, weights=WEIGHTS, schedules=SCHEDULES, share=SHARE, most: int = MOST_REPEATS) -> DataFrame:
+def mix(df: DataFrame, size: Column | None = None, schedules=SCHEDULES, share=SHARE, most: int = MOST_REPEATS) -> DataFrame:
     """df(doc_id, source, text, ...) with size, source_size, target, repeats (0 to `most`), taken (repeats * size)
     and positions (one time a repeat, ascending).
 
@@ -97,7 +106,7 @@ def mix(df: DataFrame, size: Column | None = None, weights=WEIGHTS, schedules=SC
     tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
     rows = df.select(F.struct(*df.columns).alias("row"), F.col("source").alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"), size.alias("size"), tie.alias("tie"))
     sized = df.select(F.col("source").alias("source"), size.alias("size"))
-    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most)
+    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), schedules, share, most)
     known = rows.join(_small(aims.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PART_ROWS))
     part = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * parts).cast("long")
@@ -125,7 +134,9 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document, sorted by its first position over the whole table; documents not taken come last."""
     docs = table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
     mixed = mix(slim, size=F.col("words"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    ordered = mixed.withColumn("position", F.get("positions", F.lit(0))).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken")

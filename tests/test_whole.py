@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text
+from glyphmill.llm import mixing
 from glyphmill.operators import embeddings, minhash
 from glyphmill.plans import similar
 from glyphmill.registry import ORACLES, QUERIES
@@ -127,3 +128,13 @@ def test_all_lines_as_groups(spark):
 
 def test_anomalies_of_all_vectors(spark, duck):  # noqa: F811
     _equal(spark, duck, "e11_anomaly", ORACLES["e11_anomaly"].replace("q.id % 5 = 0 AND ", ""))
+
+
+def test_mixing_sorts_by_position_and_takes_weights_from_schedules(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), size=F.col("words")).collect()
+    want = [r.doc_id for r in sorted(rows, key=lambda r: (r.positions[0] if r.positions else 2.0, r.doc_id))]
+    assert [r.doc_id for r in mixing.op4_mixing(spark, SF).collect()] == want
+    assert mixing.integrals() == (5, 2, 1) and mixing.integrals(((0.25, 0.5), (1.0, 1.0))) == (3, 8)
+    sizes = spark.createDataFrame([("a", 1000, 1), ("b", 1000, 1)], "source string, source_size long, n long")
+    assert {r.source: r.target for r in mixing.targets(sizes, ((1.0, 1.0), (2.0, 0.0))).collect()} == {"a": 1500.0, "b": 1500.0}
