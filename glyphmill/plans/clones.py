@@ -151,7 +151,7 @@ _LINES = "l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS co
 _REG = f"""{_LINES}, m AS (SELECT file, line, CASE WHEN contains(content, 'the the') THEN 1 WHEN contains(content, 'and') THEN 0 END AS mark FROM l), n AS (SELECT *, lag(mark) OVER (PARTITION BY file ORDER BY line) AS b FROM m WHERE mark IS NOT NULL),
 e AS (SELECT * FROM n WHERE (mark = 1 AND coalesce(b, 0) = 0) OR (mark = 0 AND b = 1)), p AS (SELECT file, line AS start, mark, lead(line) OVER (PARTITION BY file ORDER BY line) AS stop FROM e),
 g AS (SELECT p.file, start, coalesce(stop, (SELECT max(line) FROM l WHERE l.file = p.file)) AS stop FROM p WHERE mark = 1)"""
-_FN = """s AS (SELECT l_orderkey AS fn, l_linenumber AS n, 'b' || l_linenumber AS block, 'v' || (min(l_partkey) % 5) AS u, 'v' || (min(l_suppkey) % 4) AS d FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL),
+_FN = """s AS (SELECT l_orderkey AS fn, l_linenumber AS n, 'b' || l_linenumber AS block, 'v' || (min(l_partkey) % 5) AS u, 'v' || (min(l_suppkey) % 4) AS d FROM lineitem GROUP BY ALL),
 e AS (SELECT fn, block AS src, coalesce(lead(block) OVER w, first_value(block) OVER w) AS dst FROM s WINDOW w AS (PARTITION BY fn ORDER BY n)),
 live AS (SELECT fn, block, u AS v FROM s UNION SELECT e.fn, e.src, live.v FROM live JOIN e ON e.fn = live.fn AND e.dst = live.block JOIN s ON s.fn = e.fn AND s.block = e.src WHERE s.d <> live.v),
 outs AS (SELECT DISTINCT e.fn, e.src AS block, live.v FROM e JOIN live ON live.fn = e.fn AND live.block = e.dst)"""
@@ -163,9 +163,11 @@ UNION ALL SELECT k.gram, k.file, (SELECT min(start) FROM r WHERE r.gram = k.gram
 SELECT gram, count(*) AS kept FROM k GROUP BY gram""",
     "c2_normalised_classes": f"""WITH t AS (SELECT list_transform(regexp_extract_all(coalesce(text, ''), '{TOKEN_PATTERN}'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '$NUM' ELSE x END) AS t FROM documents),
 w AS (SELECT unnest(list_transform(range(1, len(t) - {WINDOW} + 2), lambda i: md5(array_to_string(t[i:i + {WINDOW} - 1], ' ')))) AS gram FROM t WHERE len(t) >= {WINDOW}) SELECT gram, count(*) AS occurrences FROM w GROUP BY gram HAVING count(*) >= 2""",
-    "c5_pattern_search": f"""WITH t AS (SELECT doc_id AS file, regexp_extract_all(coalesce(text, ''), '{TOKEN_PATTERN}') AS t FROM documents), p AS (SELECT item_id, array_to_string(regexp_extract_all(text, '{TOKEN_PATTERN}')[1:8], ' ') AS g FROM benchmark WHERE len(regexp_extract_all(text, '{TOKEN_PATTERN}')) >= 8),
+    "c5_pattern_search": f"""WITH t AS (SELECT doc_id AS file, regexp_extract_all(coalesce(text, ''), '{TOKEN_PATTERN}') AS t FROM documents), b AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '{TOKEN_PATTERN}') AS t FROM benchmark),
+p AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' '))) AS g FROM b WHERE len(t) >= 8),
 w AS (SELECT file, unnest(range(0, len(t) - 7)) AS start, unnest(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' '))) AS g FROM t WHERE len(t) >= 8) SELECT item_id AS pattern_id, file, start FROM w JOIN p USING (g)""",
-    "c13_dedupe": """WITH g AS (SELECT md5(string_split(text, chr(10))[1]) AS "group", string_agg(DISTINCT source || ':' || lang, '|' ORDER BY source || ':' || lang) AS locations FROM documents GROUP BY 1) SELECT min("group") AS "group", locations FROM g GROUP BY locations""",
+    "c13_dedupe": """WITH l AS (SELECT md5(unnest(string_split(text, chr(10)))) AS "group", source || ':' || lang AS loc FROM documents),
+g AS (SELECT "group", string_agg(DISTINCT loc, '|' ORDER BY loc) AS locations FROM l GROUP BY 1) SELECT min("group") AS "group", locations FROM g GROUP BY locations""",
     "c14_report": """WITH f AS (SELECT len(string_split(text, chr(10))) AS n, text FROM documents), g AS (SELECT sum(n) - max(n) AS d FROM f GROUP BY text HAVING count(*) >= 2)
 SELECT (SELECT count(*) FROM f) AS files, CAST((SELECT sum(n) FROM f) AS BIGINT) AS total_lines, count(*) AS groups, CAST(sum(d) AS BIGINT) AS duplicated_lines, round(sum(d) * 100.0 / (SELECT sum(n) FROM f), 6)::DOUBLE AS percent FROM g""",
     "f7_ignore_regions": f"WITH {_REG} SELECT file, start, stop FROM g",

@@ -174,7 +174,7 @@ QUERIES = {
 _NODES = """nodes AS (SELECT 'r' || r_regionkey AS id, 'region' AS kind FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'c' || c_custkey, 'customer' FROM customer
 UNION ALL SELECT 'o' || o_orderkey, 'orders' FROM orders UNION ALL SELECT 'p' || p_partkey, 'part' FROM part)"""
 _EDGES = """edges AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders
-UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 25)"""
+UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem)"""
 _REACH = "reach AS (SELECT 'r' || r_regionkey AS id FROM region WHERE r_regionkey IN (0, 2) UNION SELECT dst FROM reach JOIN edges ON id = src)"
 _DECL = """decl AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 97 = 0 THEN 'main' WHEN c_custkey % 89 = 0 THEN 'body' WHEN c_custkey % 83 = 0 THEN '_' WHEN c_custkey % 79 = 0 THEN 'test' || c_custkey
 WHEN c_custkey % 73 = 0 THEN 'CodingKeys' WHEN c_custkey % 71 = 0 THEN '`' || c_custkey || '`' WHEN c_custkey % 67 = 0 THEN c_mktsegment || 'Tests' ELSE 'C' || c_custkey END AS name,
@@ -193,11 +193,12 @@ _CONF = "CASE WHEN access IN ('private', 'fileprivate') THEN 'high' WHEN access
 ORACLES = {
     "g7_reachable": f"WITH RECURSIVE {_EDGES}, reach AS (SELECT 'r' || r_regionkey AS id, CAST(0 AS BIGINT) AS depth FROM region WHERE r_regionkey IN (0, 2) UNION SELECT dst, depth + 1 FROM reach JOIN edges ON id = src) SELECT id, min(depth) AS depth FROM reach GROUP BY id",
     "g7_unreachable": f"WITH RECURSIVE {_NODES}, {_EDGES}, {_REACH} SELECT id, kind FROM nodes WHERE id NOT IN (SELECT id FROM reach)",
-    "g8_cyclic_reach": """WITH RECURSIVE i AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_partkey AS k FROM lineitem WHERE l_quantity >= 30 AND l_linenumber = 2), e AS (SELECT p AS src, s AS dst FROM i UNION SELECT s, p FROM i),
+    "g8_cyclic_reach": """WITH RECURSIVE i AS (SELECT 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_partkey AS k FROM lineitem), e AS (SELECT p AS src, s AS dst FROM i UNION SELECT s, p FROM i),
 r AS (SELECT 'p' || min(k) AS id FROM i UNION SELECT dst FROM r JOIN e ON id = src) SELECT id FROM r""",
-    "m14_components": """WITH RECURSIVE i AS (SELECT l_partkey AS u, -l_orderkey - 1 AS v FROM lineitem WHERE l_quantity >= 49 AND l_discount > 0.08), e AS (SELECT u, v FROM i UNION SELECT v, u FROM i),
-r AS (SELECT u AS a, u AS b FROM e UNION SELECT a, v FROM r JOIN e ON b = u) SELECT a AS node, min(b) AS component FROM r GROUP BY a""",
-    "g9_paths": f"""WITH RECURSIVE {_EDGES}, f AS (SELECT * FROM edges WHERE NOT starts_with(dst, 'p') OR length(dst) <= 3),
+    "m14_components": """WITH RECURSIVE e AS (SELECT l_partkey AS u, -l_orderkey - 1 AS v FROM lineitem UNION SELECT -l_orderkey - 1, l_partkey FROM lineitem),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, min(r.component) FROM r JOIN e ON e.u = r.node JOIN recurring.r AS x ON x.node = e.v WHERE r.component < x.component GROUP BY e.v)
+SELECT node, component FROM r""",
+    "g9_paths": f"""WITH RECURSIVE {_EDGES}, f AS (SELECT * FROM edges),
 p AS (SELECT 'r' || r_regionkey AS id, ['r' || r_regionkey] AS path FROM region WHERE r_regionkey IN (0, 2) UNION ALL SELECT dst, list_append(path, dst) FROM p JOIN f ON id = src)
 SELECT id, array_to_string(min(path), '>') AS path FROM p GROUP BY id""",
     "g10_report": f"""WITH RECURSIVE {_NODES}, {_EDGES}, {_REACH}, m AS (SELECT kind, id IN (SELECT id FROM reach) AS hit FROM nodes)
@@ -218,7 +219,7 @@ SELECT id, {_CONF} AS confidence FROM decl WHERE id NOT IN (SELECT id FROM r) AN
     "u7_usage": """WITH o AS (SELECT user_id AS usr, 'f' || (event_id % 7) AS file, CASE event_type WHEN 'signup' THEN 2 WHEN 'view' THEN 4 WHEN 'click' THEN 12 ELSE 1 END AS roles FROM events),
 g AS (SELECT usr, count(*) FILTER (roles & 2 <> 0) AS definitions, count(*) FILTER (roles & 4 <> 0) AS uses, list(file) FILTER (roles & 2 <> 0) AS d, list(file) FILTER (roles & 4 <> 0) AS r FROM o GROUP BY usr)
 SELECT usr, definitions, uses, uses > 0 AND len(list_filter(coalesce(r, []), lambda f: NOT list_contains(coalesce(d, []), f))) = 0 AS only_self FROM g""",
-    "u9_self_ref": f"""WITH {_DECL}, {_REFS}, c AS (SELECT identifier, count(*) AS n, min(file) AS f FROM refs WHERE line % 7 = 0 GROUP BY identifier)
+    "u9_self_ref": f"""WITH {_DECL}, {_REFS}, c AS (SELECT identifier, count(*) AS n, min(file) AS f FROM refs GROUP BY identifier)
 SELECT id, reason FROM (SELECT id, CASE WHEN n IS NULL THEN 'neverReferenced' WHEN n = 1 AND f = file THEN 'onlySelfReferenced' END AS reason FROM decl LEFT JOIN c ON name = identifier) WHERE reason IS NOT NULL""",
     "u6_hybrid_merge": f"""WITH {_DECL}, i AS (SELECT DISTINCT file, line, name FROM decl WHERE id % 3 = 0), s AS (SELECT DISTINCT file, line, name FROM decl WHERE id % 2 = 0)
 SELECT file, line, name, CASE WHEN i.name IS NULL THEN 'syntax' ELSE 'index' END AS found_by FROM (SELECT * FROM i UNION SELECT * FROM s) LEFT JOIN i USING (file, line, name)""".replace("i.name IS NULL", "h IS NULL").replace("LEFT JOIN i USING", "LEFT JOIN (SELECT *, 1 AS h FROM i) USING"),

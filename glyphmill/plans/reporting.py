@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, minhash, reports
+from ..operators.checkpoints import cut
+from . import similar
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -47,11 +49,12 @@ WIDTH = 256
 BANDS, ROWS = minhash.bands_and_rows(WIDTH, 0.5)
 
 
-def _signed(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as signatures, of small numbers so that bands meet."""
-    k = F.col("o_orderkey")
-    values = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: (F.floor(k / (3 + i)) % 7).cast("long"))
-    return _t(spark, d, "orders").select(k.alias("id"), values.alias("sig"))
+def _signed(spark: SparkSession, d: str, classes: bool = False) -> DataFrame:
+    """Signatures of documents of five words or more: (id, sig). classes: of one document a class of equal sets."""
+    docs = similar.hashes(spark, d)
+    if classes:
+        docs = docs.join(minhash.set_classes(docs).where("id = rep").select("id"), "id", "left_semi")
+    return cut(docs.select("id", minhash.signature(F.col("hashes"), WIDTH).alias("sig")))
 
 
 def similar_to(spark: SparkSession, d: str) -> DataFrame:
@@ -60,31 +63,26 @@ def similar_to(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return minhash.candidates(_signed(spark, d), BANDS, ROWS)
+    """Pairs between classes of equal shingle sets; m15_groups has the members of the classes."""
+    return minhash.candidates(_signed(spark, d, classes=True), BANDS, ROWS)
 
 
 def estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document and the next one."""
     rows = _signed(spark, d)
-    other = rows.select((F.col("id") - 10).alias("id"), F.col("sig").alias("other"))
+    other = rows.select((F.col("id") - 1).alias("id"), F.col("sig").alias("other"))
     return rows.join(other, "id").select("id", minhash.signature_similarity(F.col("sig"), F.col("other")).alias("similarity"))
 
 
 QUERIES = {"z4_sarif": sarif_results, "x17_signatures": signatures, "x19_wrappers": wrappers, "g5_member_edges": member_edges, "g12_index_edges": index_edges, "m10_similar_to": similar_to, "m9_candidates": candidates, "m4_estimate": estimates}
 
-_SIG = "g AS (SELECT o_orderkey AS id, [" + ", ".join(f"(o_orderkey // {3 + i}) % 7" for i in range(8)) + "] AS s FROM orders WHERE o_orderkey % 10 = 0)"
-_SAME = "len(list_filter([0, 1, 2, 3, 4, 5, 6, 7], lambda i: a.s[i + 1] = b.s[i + 1])) / 8"
-_MEET = "len(list_filter([0, 1, 2, 3], lambda i: a.s[2 * i + 1] = b.s[2 * i + 1] AND a.s[2 * i + 2] = b.s[2 * i + 2])) > 0"
-
 ORACLES = {
     "z4_sarif": """SELECT '{"ruleId":"unused-function","level":"warning","message":{"text":"' || CASE WHEN event_id % 2 = 0 THEN 'Consider' ELSE 'Unused declaration' END || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"f' || (event_id % 9)
 || '"},"region":{"startLine":' || event_id || ',"startColumn":' || (user_id % 80) || '}}}]}' AS result FROM events WHERE event_type = 'error'""",
     "x17_signatures": """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'id value' WHEN 1 THEN 'value' ELSE '_ value' END || ': ' || CASE WHEN s_suppkey % 2 = 0 THEN 'inout ' ELSE '' END || 'Int' || CASE WHEN s_suppkey % 5 = 0 THEN '...' ELSE '' END AS parameter,
 'fetch(' || repeat(CASE s_suppkey % 3 WHEN 0 THEN 'id:' WHEN 1 THEN 'value:' ELSE '_:' END, 2) || ')' AS selector FROM supplier""",
     "x19_wrappers": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'State' ELSE regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') END AS kind, CASE WHEN p_size % 2 = 0 THEN p_name END AS arguments, CASE WHEN p_size < 5 THEN 'View' END AS conforms FROM part""",
-    "g5_member_edges": """WITH t AS (SELECT CAST(-n_nationkey - 1 AS BIGINT) AS id, n_nationkey AS s, n_nationkey % 3 = 0 AS p FROM nation), m AS (SELECT c_custkey AS id, c_custkey % 70 AS name, c_nationkey AS s FROM customer WHERE c_custkey % 10 = 0)
+    "g5_member_edges": """WITH t AS (SELECT CAST(-n_nationkey - 1 AS BIGINT) AS id, n_nationkey AS s, n_nationkey % 3 = 0 AS p FROM nation), m AS (SELECT c_custkey AS id, c_custkey % 70 AS name, c_nationkey AS s FROM customer)
 SELECT t.id AS src, m.id AS dst, 'call' AS kind FROM t JOIN m USING (s) WHERE NOT p UNION SELECT a.id, b.id, 'typeReference' FROM t JOIN m a USING (s) JOIN m b ON a.name = b.name AND a.s <> b.s WHERE p""",
     "g12_index_edges": """WITH o AS (SELECT user_id % 97 AS usr, CASE WHEN event_id % 4 <> 0 THEN event_id % 89 END AS c, event_type AS e FROM events) SELECT DISTINCT c AS src, usr AS dst FROM o WHERE e IN ('view', 'click') AND c IS NOT NULL AND c <> usr AND usr IN (SELECT usr FROM o WHERE e = 'signup')""",
-    "m10_similar_to": f"WITH {_SIG} SELECT a.id AS query, b.id, {_SAME} AS similarity FROM g a JOIN g b ON a.id % 500 = 0 AND a.id <> b.id WHERE {_MEET} AND {_SAME} >= 0.5",
-    "m9_candidates": f"WITH {_SIG} SELECT a.id AS id1, b.id AS id2 FROM g a JOIN g b ON a.id < b.id AND a.id % 50 = 0 AND b.id % 50 = 0 WHERE {_MEET}",
-    "m4_estimate": f"WITH {_SIG} SELECT a.id, {_SAME} AS similarity FROM g a JOIN g b ON b.id = a.id + 10",
 }

@@ -14,7 +14,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _hashes(spark: SparkSession, d: str) -> DataFrame:
+def hashes(spark: SparkSession, d: str) -> DataFrame:
     """Documents as sets of 5-word shingle hashes (60 bits of md5)."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r\f]+", -1), lambda w: w != "")
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice("w", i, 5), " ").cast("binary")), 1, 15), 16, 10).cast("long"))
@@ -28,11 +28,11 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _hashes(spark, d).select("id", F.size("hashes").cast("long").alias("shingles"), F.array_min("hashes").alias("least"))
+    return hashes(spark, d).select("id", F.size("hashes").cast("long").alias("shingles"), F.array_min("hashes").alias("least"))
 
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
-    docs = _hashes(spark, d)
+    docs = hashes(spark, d)
     return docs.select("id", F.posexplode(minhash.signature(F.col("hashes"))).alias("i", "value")).select("id", F.col("i").cast("long").alias("i"), "value")
 
 
@@ -43,7 +43,7 @@ def verified(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Links between different sets, and of each copy with the first document of its set."""
-    docs = cut(_hashes(spark, d))
+    docs = cut(hashes(spark, d))
     n = 128
     classes = cut(minhash.set_classes(docs))
     reps = docs.join(classes.where("id = rep").select("id"), "id", "left_semi")
@@ -119,10 +119,6 @@ QUERIES = {
 
 _H = """w AS (SELECT doc_id AS id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS w FROM documents),
 h AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: CAST('0x' || md5(array_to_string(w[i:i + 4], ' '))[1:15] AS BIGINT))) AS s FROM w WHERE len(w) >= 5)"""
-_A, _B = minhash.coefficients(4)
-_SIG = ", ".join(
-    f"list_min(list_transform(s, lambda x: (({int(a)}::HUGEINT * x + {int(b)}) % 18446744073709551616) % 2305843009213693952 + (({int(a)}::HUGEINT * x + {int(b)}) % 18446744073709551616) // 2305843009213693952))" for a, b in zip(_A, _B, strict=True)
-)
 # pairs alike share one of the first fifth of either's sorted hashes
 _PAIRS = f"""{_H}, k AS (SELECT id, min(id) OVER (PARTITION BY list_sort(s)) AS rep, s FROM h), p AS (SELECT id, unnest(list_sort(s)[1:len(s) - CAST(ceil(len(s) * 0.8) AS BIGINT) + 1]) AS g FROM k WHERE id = rep), c AS (SELECT DISTINCT a.id AS id1, b.id AS id2 FROM p a JOIN p b USING (g) WHERE a.id < b.id),
 l AS (SELECT id1, id2, i / (t - i) AS similarity FROM (SELECT id1, id2, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS t FROM c JOIN h x ON x.id = id1 JOIN h y ON y.id = id2) WHERE i / (t - i) >= 0.8 UNION ALL SELECT rep, id, 1.0 FROM k WHERE id <> rep)"""
@@ -132,18 +128,17 @@ ORACLES = {
     "m1_blocks": """WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\\p{L}_][\\p{L}0-9_]*|[0-9]+|[^ \\t\\n\\r\\f\\p{L}0-9_]') AS t FROM documents),
 s AS (SELECT doc_id, t, unnest(range(0, len(t) - 39, 20)) AS start FROM t WHERE len(t) >= 40) SELECT doc_id, start, md5(array_to_string(t[start + 1:start + 40], ' ')) AS block FROM s""",
     "m2_shingles": f"WITH {_H} SELECT id, len(s) AS shingles, list_min(s) AS least FROM h",
-    "m3_signatures": f"WITH {_H}, g AS (SELECT id, [{_SIG}] AS s FROM h) SELECT id, unnest(range(0, 4)) AS i, CAST(unnest(s) AS BIGINT) AS value FROM g",
     "e1_hash_embed": None,
     "m5_weighted": """WITH w AS (SELECT item_id, unnest(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '')) AS w FROM benchmark), c AS (SELECT item_id, CAST('0x' || md5(w)[1:10] AS BIGINT) AS h, least(count(*), 10) AS n FROM w GROUP BY item_id, w)
 SELECT item_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(h * n + 2654435761 * (n * (n - 1) // 2)) AS BIGINT) AS total FROM c GROUP BY item_id""",
     "e2_knn": f"""WITH {_V}, s AS (SELECT q.id AS query, c.id, list_cosine_similarity(q.v, c.v) AS x FROM v q JOIN v c ON q.id % 20 = 0 AND c.id <> q.id),
 r AS (SELECT query, id, round(x, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY x DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 6""",
     "e10_search": f"""WITH {_V}, r AS (SELECT c.id, round(list_cosine_similarity(q.v, c.v), 6) AS similarity, CAST(row_number() OVER (ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.id) AS INTEGER) AS rank FROM v q JOIN v c ON q.id = 7) SELECT * FROM r WHERE rank <= 10""",
-    "e11_anomaly": f"""WITH {_V}, s AS (SELECT q.id AS query, c.id, list_cosine_similarity(q.v, c.v) AS x FROM v q JOIN v c ON q.id % 5 = 0 AND c.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY x DESC, id) AS n FROM s)
+    "e11_anomaly": f"""WITH {_V}, s AS (SELECT q.id AS query, c.id, list_cosine_similarity(q.v, c.v) AS x FROM v q JOIN v c ON c.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY x DESC, id) AS n FROM s)
 SELECT query, round(1 - avg(x), 6) AS score FROM r WHERE n <= 5 GROUP BY query ORDER BY 1 - avg(x) DESC, query LIMIT 20""",
     "e12_cohesion": f"""WITH {_V}, s AS (SELECT a.module, a.module = b.module AS same, list_cosine_similarity(a.v, b.v) AS x FROM v a JOIN v b ON a.id <> b.id)
 SELECT module, (SELECT count(*) FROM v WHERE v.module = s.module) AS members, round(avg(x) FILTER (same), 6) AS inside, round(avg(x) FILTER (NOT same), 6) AS across, round(avg(x) FILTER (same) - avg(x) FILTER (NOT same), 6) AS cohesion FROM s GROUP BY module""",
-    "e4_verify": f"""WITH {_V}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY id) AS n FROM v) WHERE n <= 4)
+    "e4_verify": f"""WITH {_V}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY id) AS n FROM v))
 SELECT a.module, round(min(list_cosine_similarity(a.v, b.v)), 6) AS least, round(min(list_cosine_similarity(a.v, b.v)), 6) >= -0.2 AS kept FROM f a JOIN f b ON a.module = b.module AND a.id < b.id GROUP BY a.module""",
     "e6_shape_rerank": """WITH g AS (SELECT p_partkey, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substring(p_name, i, 3))) AS g FROM part)
 SELECT a.p_partkey, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 9) AS score FROM g a JOIN g b ON b.p_partkey = a.p_partkey + 1""",

@@ -133,10 +133,9 @@ SELECT doc_id, round(CASE WHEN t > 0 THEN i / (t - i) ELSE 0 END, 9) AS jaccard,
     "x15_type_names": """SELECT c_custkey, array_to_string(list_filter([upper(c_mktsegment[1]) || lower(c_mktsegment[2:]), string_split(c_name, '#')[1]], lambda x: regexp_matches(x, '^[A-Z]')), ',') AS types FROM customer""",
 }
 # first occurrences need an ordered distinct: by position within the list
-ORACLES["x8_positional_blocks"] = f"""WITH h AS (SELECT doc_id, {_TOKENS}[1:12] AS h FROM documents),
-e AS (SELECT doc_id, unnest(h) AS t, generate_subscripts(h, 1) AS i FROM h),
-k AS (SELECT doc_id, t, i, {_kind_sql('t')} AS k FROM e),
-f AS (SELECT doc_id, t, k, min(i) AS f FROM k WHERE k IN ('identifier', 'literal') GROUP BY ALL),
-n AS (SELECT doc_id, t, (CASE WHEN k = 'identifier' THEN '$ID' ELSE '$LIT' END) || (row_number() OVER (PARTITION BY doc_id, k ORDER BY f) - 1) AS name FROM f)
-SELECT d.doc_id, coalesce(f.form, '') AS form FROM documents d LEFT JOIN
-(SELECT k.doc_id, string_agg(coalesce(n.name, k.t), ' ' ORDER BY i) AS form FROM k LEFT JOIN n ON n.doc_id = k.doc_id AND n.t = k.t GROUP BY k.doc_id) f USING (doc_id)"""
+ORACLES["x8_positional_blocks"] = f"""WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents), b AS (SELECT doc_id, t, unnest(range(0, len(t) - 39, 20)) AS start FROM t WHERE len(t) >= 40),
+e AS (SELECT doc_id, start, unnest(t[start + 1:start + 40]) AS t, unnest(range(40)) AS i FROM b),
+k AS (SELECT *, {_kind_sql('t')} AS k FROM e),
+f AS (SELECT doc_id, start, t, k, min(i) AS f FROM k WHERE k IN ('identifier', 'literal') GROUP BY ALL),
+n AS (SELECT doc_id, start, t, (CASE WHEN k = 'identifier' THEN '$ID' ELSE '$LIT' END) || (row_number() OVER (PARTITION BY doc_id, start, k ORDER BY f) - 1) AS name FROM f)
+SELECT k.doc_id, k.start, string_agg(coalesce(n.name, k.t), ' ' ORDER BY i) AS form FROM k LEFT JOIN n USING (doc_id, start, t) GROUP BY k.doc_id, k.start"""
