@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -72,7 +73,7 @@ def test_shards_of_odd_rows(spark):
 # -- 2 toxicity
 
 
-def test_noisy_or_learns_words_and_finds_sentences():
+def test_noisy_or_learns_words_and_finds_sentences(spark):
     rnd = random.Random(3)
     texts, labels = [], []
     for i in range(400):
@@ -81,7 +82,9 @@ def test_noisy_or_learns_words_and_finds_sentences():
             parts[i % 5] += " " + rnd.choice(["badword", "badwordish", "nasty"])
         texts.append(". ".join(parts))
         labels.append(int(i % 4 == 0))
-    model = toxicity.NoisyOr.fit(texts[:300], labels[:300])
+    docs = spark.createDataFrame(list(enumerate(texts[:300])), "doc_id long, text string")
+    known = spark.createDataFrame(list(enumerate(labels[:300])), "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
     assert [int(model.score(t)[0] >= 0.5) for t in texts[300:]] == labels[300:]
     p, at, worst = model.score("alpha beta. you badword thing. gamma")
     assert p >= 0.5 and at == 1 and worst > 0.4
@@ -96,9 +99,29 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score_documents(empty(spark), toxicity.train(empty(spark), labels.limit(0))).count() == 0
 
 
-def test_toxicity_query_is_whole(spark):
-    rows = toxicity.op2_toxicity(spark, SF).collect()
-    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+def test_training_of_long_and_repeated_texts(spark):
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "alpha beta. you badword thing" if i % 3 == 0 else "alpha beta. gamma thing") for i in ids]
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in ids], "doc_id long, toxic int")
+    df = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    plain = toxicity.train(df(rows), known, chars_bound=80_000)
+    assert plain.score("a badword")[0] >= 0.5 > plain.score("alpha beta. gamma")[0]
+    repeated = toxicity.train(df(rows + rows[:50]), known, chars_bound=80_000)
+    assert repeated.weights == plain.weights and repeated.bias == plain.bias
+    long = toxicity.train(df([(ids[0], "x " * 50_000), *rows[1:]]), known, chars_bound=80_000)  # it alone is left out
+    assert long.score("a badword")[0] >= 0.5 > long.score("alpha beta. gamma")[0]
+    with pytest.raises(ValueError, match="no labelled"):
+        toxicity.train(df([(ids[0], "x " * 50_000)]), known, chars_bound=80_000)
+
+
+def test_toxicity_query_holds_on_rows_held_out(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in toxicity.op2_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    assert set(rows) == set(docs)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and (r.worst_sentence or "") in (docs[i] or "") for i, r in rows.items())
+    labels = [(rows[r.doc_id].score, r.toxic) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r.toxic is not None and rows[r.doc_id].held_out]
+    toxic, clean = [s for s, y in labels if y], [s for s, y in labels if not y]
+    assert np.mean([(s > c) + (s == c) / 2 for s in toxic for c in clean]) > 0.85 and np.mean([c < 0.5 for c in clean]) > 0.9
 
 
 # -- 3 near duplicates
@@ -388,3 +411,13 @@ def test_pipeline_equals_its_stages(spark):
     assert set(rows[0].asDict()) == {*docs.columns, "piece_ids", "decoded"}
     words = sum(len((by[i].text or "").split()) for i in kept)
     assert abs(sum(len(r.text.split()) for r in rows) - 1.5 * words) < 0.05 * words
+
+
+def test_mixing_sorts_by_position_and_takes_weights_from_schedules(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), size=F.col("words")).collect()
+    want = [r.doc_id for r in sorted(rows, key=lambda r: (r.positions[0] if r.positions else 2.0, r.doc_id))]
+    assert [r.doc_id for r in mixing.op4_mixing(spark, SF).collect()] == want
+    assert mixing.integrals() == (5, 2, 1) and mixing.integrals(((0.25, 0.5), (1.0, 1.0))) == (3, 8)
+    sizes = spark.createDataFrame([("a", 1000, 1), ("b", 1000, 1)], "source string, source_size long, n long")
+    assert {r.source: r.target for r in mixing.targets(sizes, ((1.0, 1.0), (2.0, 0.0))).collect()} == {"a": 1500.0, "b": 1500.0}
