@@ -4,8 +4,10 @@ Candidates are found by one pattern and validated: card numbers by issuer prefix
 mod-97 check, IPv4 addresses by octets, US social security numbers by area, group and serial, dates by the
 calendar, telephone numbers by their form and digit count, mail addresses by form. What doesn't validate stays
 as it is. A valid value is permuted within its format: separators, lengths, issuer prefix, country code, mail
-domain and kinds of characters stay, check digits are made anew, so the pseudonym validates too. The
-permutation depends on the key and the kind of value only: equal values stay equal in all documents.
+domain and kinds of characters stay, check digits are made anew, so the pseudonym validates too. Of a date the order of
+its fields, their widths and its span of 200 years stay; a slashed date that is none with the month first
+is read with the day first, and its day stays beyond 12. The permutation depends on the key and the kind of
+value only: equal values stay equal in all documents. Who has the key can invert it, so it has no default.
 
 Domains that are no product of two ranges (dates, social security numbers) are walked: the network is
 applied again until its output is valid, which keeps it a permutation.
@@ -20,15 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import table, without
 
-KEY = "glyphmill pseudonyms"
+#: Setting that holds the key of op8_pii and the pipeline, and their key where it is unset, for tables that are invented.
+KEY_SETTING, TEST_KEY = "spark.glyphmill.pii.key", "glyphmill pseudonyms"
 ROUNDS = 8
 #: The alphabets within which characters of mail names and IBANs are moved.
 ALPHABETS = (
     "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789",
     "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
 )
-#: Dates move within these years.
-FIRST_DAY, DAYS = "1900-01-01", 73_049
+#: Dates move within spans of so many years, of which one begins in this year.
+SPAN, FIRST_YEAR = 200, 1900
 _STEPS = 24
 
 EMAIL = r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}+"
@@ -63,9 +66,9 @@ def feistel(value: Column, a: Column, b: Column, key: str, tag: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), zero, step, lambda s: s["l"] * b + s["r"])
 
 
-def walked(value: Column, a: int, b: int, valid: Callable[[Column], Column], key: str, tag: str) -> Column:
+def walked(value: Column, a: Column, b: Column, valid: Callable[[Column], Column], key: str, tag: str) -> Column:
     """feistel(), applied again until the output is valid."""
-    once = lambda v: feistel(v, F.lit(a).cast("long"), F.lit(b).cast("long"), key, tag)
+    once = lambda v: feistel(v, a, b, key, tag)
     # the state holds whether a valid output has been reached
     zero = F.struct(value.cast("long").alias("v"), F.lit(False).alias("done"))
 
@@ -168,19 +171,49 @@ def _ip(x: Column, key: str) -> Column:
 def _ssn(x: Column, key: str) -> Column:
     valid = lambda n: ~F.floor(n / 1_000_000).cast("int").isin(0, 666) & (n < 900_000_000) & (F.floor(n / 10_000) % 100 != 0) & (n % 10_000 != 0)
     d = _digits(x)
-    moved = walked(d.cast("long"), 100_000, 10_000, valid, key, "ssn")
+    moved = walked(d.cast("long"), F.lit(100_000).cast("long"), F.lit(10_000).cast("long"), valid, key, "ssn")
     return F.when(valid(d.cast("long")), _poured(x, F.lpad(moved.cast("string"), 9, "0")))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _real(y: Column, m: Column, d: Column) -> Column:
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= last)
+
+
 def _date(x: Column, key: str) -> Column:
-    iso, us, dotted = r"^(\d{4})-(\d{2})-(\d{2})$", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
-    day = F.when(x.rlike(iso), F.concat_ws("-", *[F.regexp_extract(x, iso, i) for i in (1, 2, 3)])).when(
-        x.rlike(us), F.concat_ws("-", *[F.lpad(F.regexp_extract(x, us, i), n, "0") for i, n in ((3, 4), (1, 2), (2, 2))])
-    ).otherwise(F.concat_ws("-", *[F.lpad(F.regexp_extract(x, dotted, i), n, "0") for i, n in ((3, 4), (2, 2), (1, 2))]))
-    number = F.date_diff(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), walked(number, 271, 271, lambda n: n < DAYS, key, "date").cast("int"))
-    new = F.when(x.rlike(iso), F.date_format(moved, "yyyy-MM-dd")).when(x.rlike(us), F.date_format(moved, "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd.MM.yyyy"))
-    return F.when(number.between(0, DAYS - 1), new)
+    def read(parts: Column) -> Column:
+        iso = x.contains("-")
+        late = x.contains("/") & (parts[0].cast("int") > 12)  # the day first, beyond 12
+        month_first = x.contains("/") & ~late
+        year, month = F.when(iso, parts[0]).otherwise(parts[2]), F.when(month_first, parts[0]).otherwise(parts[1])
+        day = F.when(iso, parts[2]).when(month_first, parts[1]).otherwise(parts[0])
+        return F.struct(iso.alias("iso"), late.alias("late"), month_first.alias("month_first"), year.alias("y"), month.alias("m"), day.alias("d"))
+
+    def ranges(s: Column) -> Column:
+        span = (F.floor((s["y"].cast("int") - FIRST_YEAR) / SPAN) * SPAN + FIRST_YEAR).cast("long")
+        months = F.when(F.char_length(s["m"]) == 1, 9).otherwise(12).cast("long")
+        days = F.when(s["late"], 19).when(F.char_length(s["d"]) == 1, 9).otherwise(31).cast("long")
+        return F.struct(s.alias("s"), span.alias("span"), months.alias("months"), days.alias("days"), F.when(s["late"], 13).otherwise(1).cast("long").alias("least"))
+
+    def moved(r: Column) -> Column:
+        s, a_year = r["s"], r["months"] * r["days"]
+        of = lambda n: (r["span"] + ((n - n % a_year) / a_year).cast("long"), ((n % a_year - n % r["days"]) / r["days"]).cast("long") + 1, n % r["days"] + r["least"])
+        own = [s[c].cast("long") for c in ("y", "m", "d")]
+        number = ((own[0] - r["span"]) * r["months"] + own[1] - 1) * r["days"] + own[2] - r["least"]
+
+        def written(n: Column) -> Column:
+            y, m, d = (F.lpad(v.cast("string"), F.char_length(s[c]), "0") for v, c in zip(of(n), ("y", "m", "d"), strict=True))
+            return F.when(s["iso"], F.concat_ws("-", y, m, d)).when(s["late"], F.concat_ws("/", d, m, y)).when(s["month_first"], F.concat_ws("/", m, d, y)).otherwise(F.concat_ws(".", d, m, y))
+
+        return F.when(_real(*own), _bound(walked(number, F.lit(SPAN).cast("long"), a_year, lambda n: _real(*of(n)), key, "date"), written))
+
+    return _bound(F.split(x, "[-/.]"), lambda parts: _bound(read(parts), lambda s: _bound(ranges(s), moved)))
 
 
 def _iban(x: Column, key: str) -> Column:
@@ -206,7 +239,7 @@ KINDS: tuple[tuple[str, str, Callable[[Column, str], Column]], ...] = (
 )
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The value's pseudonym; the value itself where it is no valid item of any kind."""
     out = F.lit(None).cast("string")
     for _, pattern, made in reversed(KINDS):
@@ -214,24 +247,34 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return F.coalesce(out, value)
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """df with the column `text` rewritten and n_replaced (values that got a pseudonym).
 
-    Null texts stay null, with n_replaced 0; a row in, a row out. A column named n_replaced is replaced.
+    Null texts stay null, with n_replaced 0; empty and long texts are treated alike; a row in, a row out, repeated ones
+    repeat. A column named n_replaced is replaced, all others stay. An empty table gives an empty one. ValueError
+    for an empty key.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     df = without(df, "n_replaced")
+    taken = {c.lower() for c in df.columns}
+    hits_name, new_name = (next(c for i in range(len(taken) + 1) if (c := f"{n}{i}") not in taken) for n in ("hits", "new"))
     hits = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
     # a text without a digit or @ holds no candidate; gaps are what stands between the hits
-    found = df.withColumn("__hits", F.when(F.col(text).rlike("[0-9@]"), hits).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("__new", F.transform("__hits", lambda x: pseudonym(x, key)))
+    found = df.withColumn(hits_name, F.when(F.col(text).rlike("[0-9@]"), hits).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn(new_name, F.transform(hits_name, lambda x: pseudonym(x, key)))
     gaps = F.split(F.col(text), PATTERN, -1)
-    rewritten = F.array_join(F.zip_with(gaps, F.col("__new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("__hits", "__new", lambda a, b: a != b), lambda x: x))
+    rewritten = F.array_join(F.zip_with(gaps, F.col(new_name), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(hits_name, new_name, lambda a, b: a != b), lambda x: x))
     return found.select(
-        *[F.when(F.size("__hits") > 0, rewritten).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in df.columns],
-        F.coalesce(F.when(F.col("__hits").isNotNull(), changed), F.lit(0)).cast("long").alias("n_replaced"),
+        *[F.when(F.size(hits_name) > 0, rewritten).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in df.columns],
+        F.coalesce(F.when(F.col(hits_name).isNotNull(), changed), F.lit(0)).cast("long").alias("n_replaced"),
     )
 
 
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))

@@ -1,6 +1,7 @@
 """Small cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing
 columns; and each held against a brute-force version."""
 
+import datetime
 import hashlib
 import itertools
 import random
@@ -326,7 +327,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
     valid = ["4111 1111 1111 1111", "5105105105105100", "+1 (017) 555-7713", "175.102.247.55", "die.55@mail4.example.com", "DE89370400440532013000", "123-45-6789", "2024-02-29", "31.12.2001"]
     invalid = ["4111 1111 1111 1112", "9807915762804490", "999.1.1.1", "DE89370400440532013001", "000-12-3456", "2023-02-29", "13/13/2000", "2.0.1", "plain words"]
     df = spark.createDataFrame([(i, f"a {v} b") for i, v in enumerate(valid + invalid)] + [(100, ", ".join(valid)), (101, None), (102, "")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in pii.pseudonymise(df.withColumn("n_replaced", F.lit("clash"))).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymise(df.withColumn("n_replaced", F.lit("clash")), "k").collect()}
     new = [rows[i].text[2:-2] for i in range(len(valid))]
     assert all(a != b and re.sub(r"\d", "9", re.sub("[a-z]", "x", a))[:4] == re.sub(r"\d", "9", re.sub("[a-z]", "x", b))[:4] for a, b in zip(valid[:3], new[:3], strict=True))
     assert luhn(new[0].replace(" ", "")) and luhn(new[1]) and new[5].startswith("DE") and new[4].endswith("@mail4.example.com")
@@ -334,8 +335,36 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert all(rows[len(valid) + i].text == f"a {v} b" and rows[len(valid) + i].n_replaced == 0 for i, v in enumerate(invalid))
     assert rows[101].text is None and rows[102].text == ""
     again = spark.createDataFrame([(i, v) for i, v in enumerate(new)], "doc_id long, text string")
-    assert all(r.n_replaced == 1 for r in pii.pseudonymise(again).collect())  # pseudonyms validate
-    assert pii.pseudonymise(odd_docs(spark)).count() == 11 and pii.pseudonymise(empty(spark)).count() == 0
+    assert all(r.n_replaced == 1 for r in pii.pseudonymise(again, "k").collect())  # pseudonyms validate
+    assert pii.pseudonymise(odd_docs(spark), "k").count() == 11 and pii.pseudonymise(empty(spark), "k").count() == 0
+
+
+def test_dates_keep_their_format(spark):
+    """All dates of a few years in each format: another date of the same widths, order and span, no two alike."""
+    days = [datetime.date(y, 1, 1) + datetime.timedelta(n) for y in (1899, 1996, 1999) for n in range(365)]
+    forms = {
+        "iso": lambda d: f"{d:%Y-%m-%d}", "us": lambda d: f"{d:%m/%d/%Y}", "us_short": lambda d: f"{d.month}/{d.day}/{d.year}",
+        "day_first": lambda d: f"{d:%d/%m/%Y}" if d.day > 12 else None, "dotted": lambda d: f"{d.day}.{d.month}.{d.year}", "padded": lambda d: f"{d:%d.%m.%Y}",
+    }
+    texts = sorted({x for f in forms.values() for d in days if (x := f(d))})
+    df = spark.createDataFrame([(x, f"born {x}, really", 1) for x in texts], "value string, text string, hits0 int")
+    rows = {r.value: r for r in pii.pseudonymise(df, "k").collect()}
+    new = {v: r.text[5:-8] for v, r in rows.items()}
+    assert len(set(new.values())) == len(texts) and all(r.hits0 == 1 for r in rows.values())
+    shape = lambda x: re.sub("[0-9]", "0", x)
+    for old, made in new.items():
+        assert shape(old) == shape(made)
+        a, b = ([int(n) for n in re.split("[-/.]", x)] for x in (old, made))
+        if "/" in old and a[0] > 12:
+            assert b[0] > 12
+            order = (2, 1, 0)
+        else:
+            order = (0, 1, 2) if "-" in old else (2, 0, 1) if "/" in old else (2, 1, 0)
+        datetime.date(*(b[i] for i in order))
+        assert (a[order[0]] - 1900) // 200 == (b[order[0]] - 1900) // 200
+    assert sum(old == made for old, made in new.items()) < 10
+    odd = spark.createDataFrame([("31/31/1999",), ("2001-02-29",), ("0000-01-01",)], "text string")
+    assert all(r.n_replaced == 0 for r in pii.pseudonymise(odd, "k").collect())
 
 
 def test_feistel_is_a_permutation(spark):
