@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import cut, table
 from glyphmill.llm.mixing import mix, training_order
 from glyphmill.llm.near_dedup import keep_one
-from glyphmill.llm.pii import pseudonymise
+from glyphmill.llm.pii import pseudonymise, session_key
 from glyphmill.llm.sentencepiece_codec import encode
 from glyphmill.llm.toxicity import score_documents, train
 
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; n_chars follows the text where it has changed."""
-    new = pseudonymise(docs)
+    new = pseudonymise(docs, session_key(spark))
     n_chars = F.when(F.col("n_replaced") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return new.select(*[n_chars if c == "n_chars" else c for c in docs.columns])
 
