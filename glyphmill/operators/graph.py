@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import type_names
 from .checkpoints import cut
 
 
@@ -146,6 +147,13 @@ def reference_edges(declarations: DataFrame, references: DataFrame) -> DataFrame
     return inside.join(named, "identifier").where("src <> dst").select("src", "dst", F.col("context").alias("kind")).distinct()
 
 
+def type_edges(declarations: DataFrame) -> DataFrame:
+    """declarations(id, name, type) to (src, dst, kind): a declaration and all of the names in its type annotation,
+    built-in ones left out; kind is typeReference."""
+    used = declarations.select(F.col("id").alias("src"), F.explode(type_names(F.col("type"))).alias("name"))
+    return used.join(declarations.select(F.col("id").alias("dst"), "name"), "name").select("src", "dst", F.lit("typeReference").alias("kind")).distinct()
+
+
 def member_edges(declarations: DataFrame, compat_path_match: bool = False) -> DataFrame:
     """(src, dst, kind): a type calls its methods; a protocol's method refers to methods of its name and kind elsewhere.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +56,11 @@ def deduplicated(diagnostics: DataFrame, level: str = "exact") -> DataFrame:
     return diagnostics.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def merged(*sources: DataFrame) -> DataFrame:
+    """All rows of the sources, by file, line and column."""
+    return reduce(DataFrame.unionByName, sources).orderBy("file", "line", "col")
+
+
 def capped(diagnostics: DataFrame, limit: int) -> DataFrame:
     """At most `limit` diagnostics a file; one more row tells how many there are besides."""
     by_file = Window.partitionBy("file")

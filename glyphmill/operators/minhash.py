@@ -70,6 +70,11 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), same / F.size(a)).otherwise(F.lit(0.0))
 
 
+def sequence_similarity(a: Column, b: Column, exact: bool = True, n: int = 256) -> Column:
+    """Jaccard similarity of two sequences' shingle hashes; estimated by n minima of each if not exact."""
+    return jaccard(a, b) if exact else signature_similarity(signature(a, n), signature(b, n))
+
+
 def weighted_hashes(entries: Column, most: int = 10) -> Column:
     """(hash, count) entries as hashes with multiplicity: hash + i * 2654435761 for i below min(count, most).
     The hashes must leave room for the addition."""

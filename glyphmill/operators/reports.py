@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Version and schema of the interchange format.
@@ -58,51 +57,55 @@ def conformance_kind(name: Column) -> Column:
     return F.when(last.isin("App", "View", "PreviewProvider", "ViewModifier", "Scene", "Commands"), last)
 
 
+#: How a field of a documentation comment begins, in lower case.
+FIELDS = {"parameter": "- parameter [^:]*:", "returns": "- returns?:", "throws": "- throws:", "note": "- note:"}
+#: Words that don't name a parameter of their own after the dash.
+NO_NAMES = "- (?:parameter|return|throws|note)"
+
+
 def documentation(comments: DataFrame) -> DataFrame:
     """comments(id, comment) to (id, summary, parameters, returns, throws, notes).
 
-    Comment marks go; the summary is what stands before the first blank line or field; parameters are `name: text`
-    strings; a note goes on until the next note, other fields are left out of it.
+    Comment marks go. A line is a field or text; `- name: text` is a parameter too. The summary is the text before the
+    first field and before the first blank line (a blank first line doesn't count); parameters are `name: text`
+    strings; of several returns or throws the last one counts; a note goes on over all text until the next note.
+    Lines are numbered, notes are counted by a running sum, and all is put together by one aggregate.
     """
-
-    def clean(line: str) -> str:
-        line = line.strip()
-        for mark in ("///", "/**"):
-            line = line[len(mark) :].strip() if line.startswith(mark) else line
-        line = line[:-2].strip() if line.endswith("*/") else line
-        return line[1:].strip() if line.startswith("*") else line
-
-    def parsed(comment: str) -> tuple:
-        summary, params, returns, throws, notes, note, in_summary = [], [], None, None, [], [], True
-        for line in map(clean, (comment or "").split("\n")):
-            low = line.lower()
-            field = next((f for f in ("- parameter ", "- returns:", "- return:", "- throws:", "- note:") if low.startswith(f)), None)
-            rest = line[len(field) :] if field else line[2:]
-            other = field is None and low.startswith("- ") and ":" in rest and not low.startswith(("- parameter", "- return", "- throws", "- note"))
-            if other or (field == "- parameter " and ":" in rest):
-                name, _, text = rest.partition(":")
-                params.append(f"{name.strip()}: {text.strip()}")
-            elif field in ("- returns:", "- return:"):
-                returns = rest.strip()
-            elif field == "- throws:":
-                throws = rest.strip()
-            elif field == "- note:":
-                notes += [" ".join(note)] if note else []
-                note = [rest.strip()]
-            else:
-                if in_summary and (line or not summary):
-                    summary.append(line)
-                elif in_summary:
-                    in_summary = False
-                elif note:
-                    note.append(line)
-                continue
-            in_summary = False
-        notes += [" ".join(note)] if note else []
-        return " ".join(summary).strip() or None, params, returns, throws, notes
-
-    def run(parts):
-        for part in parts:
-            yield pd.DataFrame([(i, *parsed(c)) for i, c in zip(part["id"], part["comment"], strict=True)], columns=["id", "summary", "parameters", "returns", "throws", "notes"])
-
-    return comments.select("id", "comment").mapInPandas(run, "id long, summary string, parameters array<string>, returns string, throws string, notes array<string>")
+    lines = comments.select("id", F.posexplode(F.split(F.coalesce("comment", F.lit("")), "\n", -1)).alias("n", "raw"))
+    bare = F.regexp_replace(F.trim(F.regexp_replace(F.trim("raw"), r"^(?:///|/\*\*)", "")), r"\*/$", "")
+    lines = lines.select("id", "n", F.trim(F.regexp_replace(F.trim(bare), r"^\*", "")).alias("line"))
+    low = F.lower("line")
+    kind = F.lit("text")
+    kind = F.when(low.rlike("^- [^:]*:") & ~low.rlike(f"^{NO_NAMES}"), "named").otherwise(kind)
+    for name, start in FIELDS.items():
+        kind = F.when(low.rlike(f"^{start}"), name).otherwise(kind)
+    rest = F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    name = F.trim(F.regexp_extract("line", r"^- (?:(?i:parameter) )?([^:]*):", 1))
+    lines = lines.select("id", "n", "line", kind.alias("kind"), rest.alias("rest"), name.alias("name"))
+    upto = Window.partitionBy("id").orderBy("n")
+    closing = (F.col("kind") != "text") | ((F.col("line") == "") & (F.col("n") > 0))
+    lines = lines.withColumn("closed", F.max(closing.cast("int")).over(upto)).withColumn("note", F.sum((F.col("kind") == "note").cast("int")).over(upto))
+    text = F.struct("n", F.when(F.col("kind") == "text", F.col("line")).otherwise(F.col("rest")).alias("x"))
+    gathered = lambda wanted: F.sort_array(F.collect_list(F.when(wanted, text)))
+    is_text = F.col("kind") == "text"
+    # first the notes one by one, then the comment as a whole
+    of_note = lines.groupBy("id", "note").agg(
+        gathered(is_text & (F.col("closed") == 0)).alias("summary"), gathered((F.col("note") > 0) & F.col("kind").isin("text", "note")).alias("said"),
+        F.sort_array(F.collect_list(F.when(F.col("kind").isin("named", "parameter"), F.struct("n", F.concat("name", F.lit(": "), "rest").alias("x"))))).alias("parameters"),
+        F.max(F.when(F.col("kind") == "returns", text)).alias("returns"), F.max(F.when(F.col("kind") == "throws", text)).alias("throws"),
+    )
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["x"]), " ")
+    out = of_note.groupBy("id").agg(
+        F.max(F.when(F.col("note") == 0, F.nullif(F.trim(joined(F.col("summary"))), F.lit("")))).alias("summary"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("note", "parameters"))), lambda x: x["parameters"])).alias("p"),
+        F.max("returns")["x"].alias("returns"), F.max("throws")["x"].alias("throws"), F.sort_array(F.collect_list(F.when(F.col("note") > 0, F.struct("note", joined(F.col("said")).alias("x"))))).alias("s"),
+    )
+    return out.select("id", "summary", F.transform("p", lambda x: x["x"]).alias("parameters"), "returns", "throws", F.transform("s", lambda x: x["x"]).alias("notes"))
+
+
+#: Severity of a finding by its confidence.
+SEVERITIES = {"high": "warning", "medium": "information", "low": "hint"}
+
+
+def severity(confidence: Column) -> Column:
+    """Severity that an editor shows for a finding of this confidence; null for another one."""
+    return F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])[confidence]

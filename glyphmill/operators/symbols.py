@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import checked, required_trigrams
-from ..functions.text import trigrams
+from ..functions.text import snippet, trigrams
 
 
 @dataclass(frozen=True)
@@ -151,6 +152,12 @@ def context(lines: DataFrame, matches: DataFrame, before: int, after: int) -> Da
     return wanted.join(lines, ["file", "line"]).select("file", "match", "line", "content", (F.col("line") == F.col("match")).alias("highlighted"))
 
 
+#: Marks anywhere in an identifier that tell the kind, the first that fits, and else the letter after
+#: the first segment.
+USR_KINDS = ((("vp",), "property"), (("fC", "fc"), "method"), (("cC", "cc"), "initializer"), (("FC",), "function"))
+USR_TYPES = {"C": "type", "V": "struct", "O": "enum", "P": "protocol"}
+
+
 def decode_usr(usr: str) -> dict:
     """Schema, context, name, kind and staticness of a symbol's identifier; a clang one is kept as it is."""
     if usr.startswith("c:"):
@@ -166,7 +173,53 @@ def decode_usr(usr: str) -> dict:
                 i = start + size
                 continue
         i += 1
-    tests = (("vp", "variable"), ("fC", "initializer"), ("fc", "initializer"), ("cC", "initializer"), ("cc", "initializer"), ("FC", "class"), ("F", "function"), ("C", "class"), ("V", "struct"), ("O", "enum"), ("P", "protocol"))
-    kind = next((k for mark, k in tests if mark in body), None)
+    kind = next((k for marks, k in USR_KINDS if any(m in body for m in marks)), None)
+    first = re.match(r"([1-9][0-9]*)", body)
+    marker = body[len(first[0]) + int(first[0]) :][:1] if first else ""
+    kind = kind or USR_TYPES.get(marker, "unknown")
     name = parts[1] if len(parts) > 1 else parts[-1] if parts else (re.findall(r"[A-Za-z_]\w*", body) or [None])[-1]
     return {"schema": "swift", "context": parts[0] if parts else None, "name": name, "kind": kind, "static": body.endswith("Z")}
+
+
+def decoded_usr(usr: Column) -> Column:
+    """decode_usr() of a column as a struct; null gives nulls. The lengths in front of the segments can't be read by a pattern."""
+
+    def run(values: pd.Series) -> pd.DataFrame:
+        none = dict.fromkeys(("schema", "context", "name", "kind", "static"))
+        return pd.DataFrame([decode_usr(x) if x is not None else none for x in values], columns=list(none))
+
+    # annotations as objects, which the kind of function is told by
+    run.__annotations__ = {"values": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "schema string, context string, name string, kind string, static boolean")(usr)
+
+
+#: Access levels from the narrowest on.
+ACCESS = ("private", "fileprivate", "internal", "package", "public", "open")
+
+
+def search(declarations: DataFrame, query: str, regex: bool = False, kind: str | None = None, access: str | None = None, limit: int | None = None) -> DataFrame:
+    """declarations whose name contains the query in any case (or matches the safe pattern), of this kind and at least
+    this access level; the first `limit` by file and line. ValueError for a pattern that may backtrack without end."""
+    hit = F.col("name").rlike(checked(query)) if regex else F.lower("name").contains(query.lower())
+    out = declarations.where(hit)
+    out = out.where(F.col("kind") == kind) if kind else out
+    out = out.where(F.col("access").isin(*ACCESS[ACCESS.index(access) :])) if access else out
+    return out.orderBy("file", "line", "name").limit(limit) if limit is not None else out
+
+
+def function_snippets(declarations: DataFrame, files: DataFrame, least: int = 5, most: int = 60) -> DataFrame:
+    """(file, name, line, end_line, snippet, tokens) of functions, methods and initializers of `least` to `most` lines; files(file,
+    text). A token counts for four characters."""
+    spans = declarations.where(F.col("kind").isin("function", "method", "initializer") & (F.col("end_line") - F.col("line") + 1).between(least, most))
+    found = spans.join(files, "file").where("text is not null").withColumn("snippet", snippet(F.col("text"), F.col("line"), F.col("end_line")))
+    return found.select("file", "name", "line", "end_line", "snippet", F.greatest(F.lit(1), F.floor(F.char_length("snippet") / 4)).cast("long").alias("tokens"))
+
+
+def file_analysis(declarations: DataFrame, references: DataFrame, kinds: list[str] | None = None, imports: bool = False, most_references: int = 100) -> DataFrame:
+    """(file, what, name, line): each file's declarations of these kinds, imports only if asked for, and its first references."""
+    kept = declarations.where(F.col("kind").isin(kinds)) if kinds else declarations
+    kept = kept if imports else kept.where("kind <> 'import'")
+    order = Window.partitionBy("file").orderBy("line", "identifier")
+    first = references.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_references)
+    row = lambda df, what, name: df.select("file", F.lit(what).alias("what"), F.col(name).alias("name"), "line")
+    return row(kept, "declaration", "name").unionByName(row(first, "reference", "identifier"))

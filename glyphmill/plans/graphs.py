@@ -79,7 +79,7 @@ def affected(spark: SparkSession, d: str) -> DataFrame:
     return graph.affected(edges(spark, d), changed)
 
 
-def _declarations(spark: SparkSession, d: str) -> DataFrame:
+def declarations(spark: SparkSession, d: str) -> DataFrame:
     """Customers as declarations; every kind, access level, attribute and name form comes up."""
     k = F.col("c_custkey")
     pick = lambda n, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (k % n + 1).cast("int"))
@@ -98,7 +98,7 @@ def _declarations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _references(spark: SparkSession, d: str) -> DataFrame:
+def references(spark: SparkSession, d: str) -> DataFrame:
     """Orders as references to customers."""
     k = F.col("o_orderkey")
     return _t(spark, d, "orders").select(
@@ -108,29 +108,29 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def root_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _declarations(spark, d).select("id", graph.root_reason(public=False).alias("reason"))
+    return declarations(spark, d).select("id", graph.root_reason(public=False).alias("reason"))
 
 
 def range_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reference_edges(_declarations(spark, d), _references(spark, d))
+    return graph.reference_edges(declarations(spark, d), references(spark, d))
 
 
 def unused_by_name(spark: SparkSession, d: str) -> DataFrame:
-    found = unused.unused_by_name(_declarations(spark, d), _references(spark, d)).where(unused.should_check(ignored=["^C1[0-9]$"]))
+    found = unused.unused_by_name(declarations(spark, d), references(spark, d)).where(unused.should_check(ignored=["^C1[0-9]$"]))
     why = unused.reason(F.col("kind"), F.lit(0), F.lit(0))
     return found.select("id", unused.confidence(F.col("access")).alias("confidence"), why.alias("reason"), unused.suggestion(why, F.col("kind"), F.col("name")).alias("suggestion"))
 
 
 def filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _declarations(spark, d).where(~unused.excluded(["**/n1/**"], ["^C2"])).select("id")
+    return declarations(spark, d).where(~unused.excluded(["**/n1/**"], ["^C2"])).select("id")
 
 
 def unused_imports(spark: SparkSession, d: str) -> DataFrame:
-    return unused.unused_imports(_declarations(spark, d).where("kind = 'import'"), _references(spark, d)).select("id", "confidence")
+    return unused.unused_imports(declarations(spark, d).where("kind = 'import'"), references(spark, d)).select("id", "confidence")
 
 
 def unused_by_reach(spark: SparkSession, d: str) -> DataFrame:
-    declared = _declarations(spark, d)
+    declared = declarations(spark, d)
     links = range_edges(spark, d)
     roots = declared.where(graph.root_reason(public=False).isNotNull()).select("id")
     return unused.unused_by_reach(declared, links, roots).select("id", "confidence")
@@ -146,23 +146,23 @@ def symbol_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_usage(spark: SparkSession, d: str) -> DataFrame:
-    return unused.name_usage(_declarations(spark, d), _references(spark, d)).select("id", "reason")
+    return unused.name_usage(declarations(spark, d), references(spark, d)).select("id", "reason")
 
 
 def merged(spark: SparkSession, d: str) -> DataFrame:
-    declared = _declarations(spark, d)
+    declared = declarations(spark, d)
     index = declared.where("id % 3 = 0").select("file", "line", "name", F.lit("index").alias("found_by"))
     syntax = declared.where("id % 2 = 0").select("file", "line", "name", F.lit("syntax").alias("found_by"))
     return unused.merged(index.distinct(), syntax.distinct(), ["file", "line", "name"])
 
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
-    return unused.summary(_declarations(spark, d).withColumn("confidence", unused.confidence(F.col("access"))))
+    return unused.summary(declarations(spark, d).withColumn("confidence", unused.confidence(F.col("access"))))
 
 
 def without_calls(spark: SparkSession, d: str) -> DataFrame:
     calls = _t(spark, d, "orders").where("o_totalprice > 300000").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("calls"))
-    return unused.without_calls(_declarations(spark, d).select("id"), calls)
+    return unused.without_calls(declarations(spark, d).select("id"), calls)
 
 
 QUERIES = {

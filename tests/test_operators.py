@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill import config
 from glyphmill.functions import patterns, text
-from glyphmill.operators import clones, dataflow, embeddings, graph, incremental, minhash, symbols
+from glyphmill.operators import clones, dataflow, embeddings, graph, incremental, minhash, reports, symbols
 from glyphmill.sources import files
 from glyphmill.streaming import pipelines
 
@@ -66,6 +66,18 @@ def test_query_strings():
             symbols.parse(bad)
     usr = symbols.decode_usr("s:4main7fetcherV3runyyFZ")
     assert (usr["context"], usr["name"], usr["static"]) == ("main", "fetcher", True)
+    kinds = {"s:4mainC1xvp": "property", "s:4mainC1xfC": "method", "s:4mainC1xfc": "method", "s:4mainC1xcc": "initializer", "s:4mainC1xFC": "function", "s:4mainC": "type", "s:4mainV": "struct", "s:4mainF": "unknown", "s:6ClassFF": "unknown"}
+    assert {u: symbols.decode_usr(u)["kind"] for u in kinds} == kinds
+
+
+def test_documentation_forms(spark):
+    comments = ["/// One.\n/// Two.\n///\n/// Three.", "- Returns: x", None, "", "/**\n * Sum\n - Note: a\n b\n - Throws: t\n c\n - Note: d\n - Returns: r\n - Returns: s\n*/", "- parameter p q: text: more\n- parameter none"]
+    df = spark.createDataFrame(list(enumerate(comments)), "id int, comment string")
+    got = {r.id: tuple(r)[1:] for r in reports.documentation(df).collect()}
+    assert got == {
+        0: ("One. Two.", [], None, None, []), 1: (None, [], "x", None, []), 2: (None, [], None, None, []), 3: (None, [], None, None, []),
+        4: ("Sum", [], "s", "t", ["a b c", "d "]), 5: (None, ["p q: text: more"], None, None, []),
+    }
 
 
 def test_closure_of_cycles_loops_and_unknown_ends(spark):
