@@ -90,7 +90,7 @@ def _steps(batches):
 
 
 def _compared(k: int, words: int):
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "held_by_edited", "held_by_next"]
 
     def run(batches):
         for rows in _steps(batches):
@@ -100,11 +100,11 @@ def _compared(k: int, words: int):
             out = [
                 (
                     rows[i][2], len(rows[i][3]), hashlib.sha256(t.encode()).hexdigest(), encode(own[i]), encode(e),
-                    resemblance(own[i], e, k), resemblance(own[i], own[i + 1], k),
+                    resemblance(own[i], e, k), resemblance(own[i], own[i + 1], k), distinct(own[i], k), containment(own[i], e, k), containment(own[i], own[i + 1], k),
                 )
                 for (i, t), e in zip(pairs, other, strict=True)
             ]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 5]
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
@@ -112,7 +112,9 @@ def _compared(k: int, words: int):
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
-    """docs(doc_id, text): fingerprints of every whole text and of its edited text, see edited().
+    """docs(doc_id, text): fingerprints of every whole text and of its edited text, see edited(); the estimated likeness of
+    the text to the edited and to the next one, its number of distinct shingles, and the share of them that the
+    edited and the next one hold.
 
     The next document is the next row by descending doc_id (null ids last; rows of one id by text), after the
     last one the first; of a single row it is the row itself. Null texts are empty. A row in, a row out.
@@ -140,7 +142,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFr
     ).select("doc_id", "text", F.col("to").alias("pid"), F.lit(True).alias("guest"))
     everyone = placed.select("doc_id", "text", "pid", F.lit(False).alias("guest")).unionByName(guests)
     dealt = everyone.repartitionById(len(cuts) + 2, F.col("pid")).sortWithinPartitions("pid", "guest", F.col("doc_id").desc_nulls_last(), "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, held_by_edited double, held_by_next double"
     return dealt.select("pid", "guest", "doc_id", "text").mapInArrow(_compared(k, words), schema)
 
 
