@@ -7,41 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN_PATTERN, token_kind, tokens
 from ..operators import clones, dataflow
+from ..operators.checkpoints import spread
 
 #: Tokens in a window of the flagship query.
 WINDOW = 20
 
 
 def exact_classes(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
-    """Classes of equal token windows that occur at two or more places: fingerprint, occurrences, documents.
-
-    Windows are keyed by the md5 of their joined text inside the array, so only 32-byte keys are shuffled and
-    a hot window is pre-aggregated before the exchange.
-    """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens(F.col("text")).alias("t"))
-    starts = F.sequence(F.lit(1), F.size("t") - window + 1)
-    keys = docs.where(F.size("t") >= window).select(
-        "doc_id", F.explode(F.transform(starts, lambda i: F.md5(F.array_join(F.slice("t", i, window), " ").cast("binary")))).alias("fingerprint")
-    )
-    by_doc = keys.groupBy("fingerprint", "doc_id").agg(F.count("*").alias("n"))
-    return (
-        by_doc.groupBy("fingerprint")
-        .agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
-        .where("occurrences >= 2")
-    )
+    """Classes of equal token windows that occur at two or more places: fingerprint, occurrences, documents."""
+    return clones.repeated_classes(_documents(spark, sf_dir), tokens(F.col("text")), window)
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_t(spark, d, "documents").select(F.col("doc_id").alias("file"), "text"))
+
+
 def _windows(spark: SparkSession, d: str, size: int = WINDOW) -> DataFrame:
-    return clones.windows(_t(spark, d, "documents").withColumnRenamed("doc_id", "file"), tokens(F.col("text")), size)
+    return clones.windows(_documents(spark, d), tokens(F.col("text")), size)
 
 
 def nonoverlapping(spark: SparkSession, d: str) -> DataFrame:
     """Repeated windows without those that overlap the last kept one of their file, by gram."""
-    kept = clones.without_overlaps(clones.repeated(_windows(spark, d)), WINDOW)
+    kept = clones.without_overlaps(_windows(spark, d), WINDOW, least=2)
     return kept.groupBy("gram").agg(F.count("*").alias("kept"))
 
 
@@ -54,7 +45,7 @@ def greedy(spark: SparkSession, d: str) -> DataFrame:
 def normalised_classes(spark: SparkSession, d: str) -> DataFrame:
     """Classes of windows that are equal once numbers are one placeholder."""
     plain = F.transform(tokens(F.col("text")), lambda t: F.when(token_kind(t) == "literal", "$NUM").otherwise(t))
-    found = clones.windows(_t(spark, d, "documents").withColumnRenamed("doc_id", "file"), plain, WINDOW)
+    found = clones.windows(_documents(spark, d), plain, WINDOW)
     return found.groupBy("gram").agg(F.count("*").alias("occurrences")).where("occurrences >= 2")
 
 
@@ -62,7 +53,7 @@ def pattern_places(spark: SparkSession, d: str) -> DataFrame:
     """Where the eight-token windows of benchmark items occur in documents."""
     items = clones.windows(_t(spark, d, "benchmark").withColumnRenamed("item_id", "pattern_id"), tokens(F.col("text")), 8, "pattern_id")
     patterns = items.select("pattern_id", "gram").distinct()
-    found = clones.pattern_places(_t(spark, d, "documents").withColumnRenamed("doc_id", "file"), tokens(F.col("text")), patterns, 8)
+    found = clones.pattern_places(_documents(spark, d), tokens(F.col("text")), patterns, 8)
     return found.select("pattern_id", "file", F.col("start").cast("long").alias("start"))
 
 

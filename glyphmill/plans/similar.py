@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import char_grams, jaccard, tokens
 from ..operators import embeddings, minhash
-from ..operators.checkpoints import cut
+from ..operators.checkpoints import cut, spread
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
     """Documents as sets of 5-word shingle hashes (60 bits of md5)."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r\f]+", -1), lambda w: w != "")
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice("w", i, 5), " ").cast("binary")), 1, 15), 16, 10).cast("long"))
-    docs = _t(spark, d, "documents").select("doc_id", words.alias("w")).where("size(w) >= 5")
+    docs = spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", words.alias("w")).where("size(w) >= 5")
     return docs.select(F.col("doc_id").alias("id"), F.array_distinct(grams).alias("hashes"))
 
 
