@@ -230,3 +230,9 @@ def dependence_edges(statements: DataFrame, reaching: DataFrame, edges: DataFram
     """(fn, src, dst, kind): data edges from defining to reading blocks and control edges between blocks."""
     data = def_use_chains(statements, reaching).select("fn", F.split(F.split("definition", "@")[1], ":")[0].alias("src"), F.col("block").alias("dst"), F.lit("data").alias("kind"))
     return data.unionByName(edges.select("fn", "src", "dst", F.lit("control").alias("kind"))).distinct()
+
+
+def flow(statements: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fn, block, live_in, live_out, reaching) of all blocks; empty arrays where nothing lives or reaches."""
+    out = live_variables(statements, edges).join(reaching_definitions(statements, edges), ["fn", "block"], "left")
+    return out.select("fn", "block", "live_in", "live_out", F.coalesce("reaching", F.array().cast("array<string>")).alias("reaching"))
