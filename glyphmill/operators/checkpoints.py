@@ -10,8 +10,18 @@ _SETTING = "spark.checkpoint.dir"
 _CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
+def folder(master: str, setting: str | None) -> str:
+    """The checkpoint folder: the session's setting; an own one where that is unset on a single machine. On a cluster
+    it must be set, as no other machine could read a local folder."""
+    if setting:
+        return setting
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"{_SETTING} is not set: it must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="glyphmill-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder of spark.checkpoint.dir (an own one only where that is unset).
+    """df, written to the session's checkpoint folder.
 
     A checkpoint carries the constraints of the plan it replaces, and those of a loop's rounds multiply; so none are
     inferred while it is made.
@@ -19,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get(_SETTING, None) or tempfile.mkdtemp(prefix="glyphmill-"))
+        sc.setCheckpointDir(folder(sc.master, spark.conf.get(_SETTING, None)))
     before = spark.conf.get(_CONSTRAINTS)
     spark.conf.set(_CONSTRAINTS, "false")
     try:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import discovery, indexed, repeats
+from glyphmill.operators import checkpoints, discovery, indexed, repeats
 
 
 def _split(c):
@@ -122,3 +122,11 @@ def test_all_similar(spark, threshold):
     want = {(a, b): sum(x == y for x, y in zip(sigs[a], sigs[b], strict=True)) / n for a, b in combinations(sorted(sigs), 2)}
     found = {(r.id1, r.id2): r.similarity for r in discovery.all_similar(df, n, threshold).collect()}
     assert found == {k: v for k, v in want.items() if v >= threshold}
+
+
+def test_checkpoint_folder_on_a_cluster():
+    assert checkpoints.folder("spark://host:7077", "/shared") == checkpoints.folder("local[4]", "/shared") == "/shared"
+    assert checkpoints.folder("local[4]", None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            checkpoints.folder(master, None)
