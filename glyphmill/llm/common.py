@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import chain
 
 import numpy as np
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from glyphmill.operators.checkpoints import folder
+
 _CHECKPOINT = "spark.checkpoint.dir"
 #: Rows in one Arrow batch handed to Python, so that a batch of long texts stays small.
 _BATCH_ROWS = 1000
@@ -22,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder from the session's setting (own folder only where unset), small Arrow batches."""
+    """Checkpoint folder from the session's setting (an own one only where unset on one machine), small Arrow batches."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get(_CHECKPOINT, None) or tempfile.mkdtemp(prefix="glyphmill-"))
+        sc.setCheckpointDir(folder(sc.master, spark.conf.get(_CHECKPOINT, None)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH_ROWS))
 
 
