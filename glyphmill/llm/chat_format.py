@@ -12,13 +12,16 @@ never occur inside a text, and reading back is a split.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 BUDGET = 1024
 HISTORY_TOKENS = 128
+#: Turns whose spans are chosen in one row, and turn numbers that are counted by one window.
+CHUNK_TURNS = 256
+BUCKET = 1024
 #: Fixed values of the template.
 START, AGAIN, AFTER_ROLE, END = "### ", " (again)", ": ", "</turn>\n"
 _ESCAPES = (("###", "\\h"), ("</turn>", "\\e"))
@@ -69,48 +72,82 @@ def _spans(turns: Column, system: Column, budget: int, history: int) -> Column:
     return F.aggregate(turns, zero, step)["starts"]
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY_TOKENS) -> DataFrame:
-    """turns(conv_id, turn, role, text) to a row a window: conv_id, window (from 0), formatted, loss_spans
-    (array of (start, length) in code points of formatted, 0-based), n_tokens (estimated) and over_budget (a
-    single turn beyond the room).
+def _numbered(turns: DataFrame) -> DataFrame:
+    """conv (conv_id as a key that is never null), conv_id, index (from 0 in its conversation, in the order of turns),
+    role, text and lead (text of the conversation's leading system turn; null without one).
 
-    Null roles and texts count as empty. Turns are ordered by turn (null last), role, text; repeated rows are
-    turns of their own. Rows of a null conv_id are one conversation. Further columns are left out. A
-    conversation is read whole, as its windows must be; its rows are short.
+    Numbers are counts in two levels: within BUCKET turn numbers, and over the buckets' counts, so a conversation
+    of very many turns is many buckets.
     """
-    row = F.struct(
-        F.col("turn").isNull().alias("no_turn"), F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    key = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(_lit("="), F.col("conv_id").cast("string")))
+    rows = turns.select(
+        key.alias("conv"), "conv_id", F.coalesce(F.floor(F.col("turn") / BUCKET).cast("long"), F.lit(2**63 - 1)).alias("bucket"),
+        F.col("turn").isNull().alias("no_turn"), "turn", F.coalesce(F.col("role").cast("string"), _lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), _lit("")).alias("text"),
     )
-    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    convs = convs.withColumn("tokens", F.transform("turns", lambda t: turn_tokens(t["text"])))
-    lead = F.element_at("turns", 1)["role"] == "system"
-    convs = convs.withColumn("lead", lead).withColumn("system", F.when(F.col("lead"), F.element_at("tokens", 1)).otherwise(F.lit(0).cast("long")))
+    # Only a system turn's text is needed of a bucket's first turn.
+    first = F.min(F.struct("no_turn", "turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text")))
+    sums = rows.groupBy("conv", "bucket").agg(F.count("*").alias("n"), first.alias("first"))
+    order = Window.partitionBy("conv").orderBy("bucket")
+    sums = sums.select("conv", "bucket", (F.sum("n").over(order) - F.col("n")).alias("start"), F.first("first.text").over(order).alias("lead"))
+    inner = F.row_number().over(Window.partitionBy("conv", "bucket").orderBy("no_turn", "turn", "role", "text")) - 1
+    numbered = rows.withColumn("inner", inner).join(sums, ["conv", "bucket"])
+    return numbered.select("conv", "conv_id", (F.col("start") + F.col("inner")).alias("index"), "role", "text", "lead")
+
+
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY_TOKENS, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+    """turns(conv_id, turn, role, text) to a row a window: conv_id, window (index from 0 of its first own turn),
+    formatted, loss_spans (array of (start, length) in code points of formatted, 0-based), n_tokens (estimated) and
+    over_budget (a single turn beyond the room).
+
+    Null roles and texts count as empty. Turns are ordered by turn (a number; null last), role, text; repeated rows
+    are turns of their own. Rows of a null conv_id are one conversation. Further columns are left out.
+
+    Spans are chosen within chunks of chunk_turns turns, each a row of its own, so a chunk's first turn begins a
+    window. A chunk also holds the turns before it that its history may repeat (a turn has 4 tokens at least).
+    """
+    tail = max(0, history) // 4
+    chunk_turns = max(chunk_turns, tail + 1)
+    chunk = F.floor(F.col("index") / chunk_turns).cast("long")
+    both = F.when(F.col("index") % chunk_turns >= chunk_turns - tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    dealt = _numbered(turns).withColumn("chunk", F.explode(both))
+    chunks = dealt.groupBy("conv", "conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("index", "role", "text"))).alias("turns"), F.first("lead").alias("lead"))
+    # held: turns of the chunk before; a chunk that has only these is none
+    chunks = chunks.withColumn("held", F.when(F.col("chunk") > 0, tail).otherwise(0)).where(F.size("turns") > F.col("held"))
+    chunks = chunks.withColumn("tokens", F.transform("turns", lambda t: turn_tokens(t["text"])))
+    chunks = chunks.withColumn("system", F.coalesce(turn_tokens(F.col("lead")), F.lit(0)).cast("long"))
     # prefix[i]: tokens of the first i turns
     prefix = F.aggregate("tokens", F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    convs = convs.withColumn("prefix", prefix).withColumn("starts", _spans(F.col("tokens"), F.col("system"), budget, history))
-    windows = convs.select("*", F.posexplode("starts").alias("window", "start")).withColumn(
-        "stop", F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns") + 1) - 1
-    )
-    # Turns repeated before the span: the longest tail of the earlier ones (without the system turn) in the history's bound.
-    first_free = F.when(F.col("lead"), 2).otherwise(1)
-    before = F.get("prefix", F.col("start") - 1)
-    again = F.size(F.filter(F.transform("prefix", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: (x["i"] + 1 >= first_free) & (x["i"] + 1 < F.col("start")) & (before - x["p"] <= history)))
-    windows = windows.withColumn("again", F.when(F.col("start") > first_free, again).otherwise(0)).withColumn("repeat_system", F.col("lead") & (F.col("start") > 1))
-
-    def pieces(array: Column, repeated: bool) -> Column:
-        return F.transform(
-            array,
-            lambda t: F.struct(
-                F.concat(_lit(START), escape(t["role"], _ROLE_ESCAPES), _lit(AGAIN if repeated else ""), _lit(AFTER_ROLE)).alias("head"),
-                escape(t["text"]).alias("body"), (F.lit(not repeated) & (t["role"] == "assistant")).alias("learn"),
-            ),
+    own_tokens = F.slice("tokens", F.col("held") + 1, F.size("tokens"))
+    starts = F.transform(_spans(own_tokens, F.col("system"), budget, history), lambda i: i + F.col("held"))
+    chunks = chunks.withColumn("prefix", prefix).withColumn("starts", starts)
+    # Turns that may be repeated begin here (from 1): not the leading system turn, which every window has.
+    chunks = chunks.withColumn("first_free", F.when((F.col("chunk") == 0) & F.col("lead").isNotNull(), 2).otherwise(1))
+    passed = F.transform("prefix", lambda p, i: F.struct(p.alias("p"), (i + 1).alias("next")))
+
+    def span(start: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get("starts", i + 1), F.size("turns") + 1) - 1
+        before = F.get("prefix", start - 1)
+        # The longest tail of the earlier turns in the history's bound.
+        again = F.size(F.filter(passed, lambda x: (x["next"] >= F.col("first_free")) & (x["next"] < start) & (before - x["p"] <= history)))
+        return F.struct(
+            (F.col("chunk") * chunk_turns + start - 1 - F.col("held")).alias("window"),
+            F.slice("turns", start - again, again).alias("tail"), F.slice("turns", start, stop - start + 1).alias("own"),
+            (F.get("prefix", stop) - F.get("prefix", start - 1 - again)).alias("n_tokens"),
+        )
+
+    windows = chunks.select("conv_id", "lead", "system", F.explode(F.transform("starts", span)).alias("span")).select("conv_id", "lead", "system", "span.*")
+    repeat_system = F.col("lead").isNotNull() & (F.col("window") > 0)
+
+    def piece(role: Column, text: Column, repeated: bool) -> Column:
+        return F.struct(
+            F.concat(_lit(START), escape(role, _ROLE_ESCAPES), _lit(AGAIN if repeated else ""), _lit(AFTER_ROLE)).alias("head"),
+            escape(text).alias("body"), (F.lit(not repeated) & (role == "assistant")).alias("learn"),
         )
 
-    own = F.slice("turns", F.col("start"), F.col("stop") - F.col("start") + 1)
-    tail = F.slice("turns", F.col("start") - F.col("again"), F.col("again"))
-    system = F.slice("turns", F.lit(1), F.when(F.col("repeat_system"), 1).otherwise(0))
-    windows = windows.withColumn("pieces", F.concat(pieces(system, True), pieces(tail, True), pieces(own, False)))
+    system = F.transform(F.when(repeat_system, F.array("lead")).otherwise(F.array().cast("array<string>")), lambda x: piece(_lit("system"), x, True))
+    tails = F.transform("tail", lambda t: piece(t["role"], t["text"], True))
+    windows = windows.withColumn("pieces", F.concat(system, tails, F.transform("own", lambda t: piece(t["role"], t["text"], False))))
     formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], _lit(END))), "")
     lengths = F.transform("pieces", lambda p: F.struct(F.char_length(p["head"]).alias("h"), F.char_length(p["body"]).alias("b"), p["learn"].alias("learn")))
     spans = F.aggregate(
@@ -121,14 +158,14 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
             F.when(p["learn"], F.concat(s["spans"], F.array(F.struct((s["at"] + p["h"]).alias("start"), p["b"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
         ),
     )["spans"]
-    own_tokens = F.get("prefix", F.col("stop")) - before
-    total = own_tokens + before - F.get("prefix", F.col("start") - 1 - F.col("again")) + F.when(F.col("repeat_system"), F.col("system")).otherwise(0)
+    total = F.col("n_tokens") + F.when(repeat_system, F.col("system")).otherwise(0)
     return windows.select("conv_id", "window", formatted.alias("formatted"), spans.alias("loss_spans"), total.alias("n_tokens"), (total > budget).alias("over_budget"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """windows of format_windows() to a row a conversation: conv_id, turns (array of (role, text)) and learnt
-    (array of the unescaped texts under the loss mask), both in order, and formatted_chars; repeated turns are left out."""
+    (array of the unescaped texts under the loss mask), both in order, and formatted_chars; repeated turns are left out.
+    The result has a whole conversation in a row."""
     segments = F.filter(F.split("formatted", END, -1), lambda s: s != "")
 
     def turn(s: Column) -> Column:
@@ -149,7 +186,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), _lit(said).alias("text"))
     back = read_back(format_windows(turns.unionByName(own)))
     written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], _lit("\n"), t["text"], _lit("\n"))), "")
     learnt = F.array_join("learnt", "")

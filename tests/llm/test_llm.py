@@ -323,6 +323,34 @@ def test_chat_round_trip(spark):
     assert chat_format.read_back(chat_format.format_windows(df.limit(0))).count() == 0
 
 
+def test_long_chat_in_chunks(spark):
+    """A conversation over several chunks and buckets, with gaps: windows as a plain walk over each chunk makes them."""
+    rnd = random.Random(5)
+    for lead in (True, False):
+        texts = [("system" if lead and i == 0 else rnd.choice(["user", "assistant"]), "x" * rnd.randrange(60)) for i in range(137)]
+        df = spark.createDataFrame([(1, i * 97 - 500, *t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+        budget, history, chunk = 100, 24, 20
+        cost = [-(-len(t) // 4) + 4 for _, t in texts]
+        system = cost[0] if lead else 0
+        expected = []
+        for c in range(0, len(texts), chunk):
+            at, room = c, budget - system - history
+            while at < min(c + chunk, len(texts)):
+                stop = at + 1
+                while stop < min(c + chunk, len(texts)) and sum(cost[at : stop + 1]) <= room:
+                    stop += 1
+                back = at
+                while back - 1 >= lead and sum(cost[back - 1 : at]) <= history:
+                    back -= 1
+                repeated = ([texts[0]] if lead and at else []) + texts[back:at]
+                written = "".join(f"### {r} (again): {t}</turn>\n" for r, t in repeated) + "".join(f"### {r}: {t}</turn>\n" for r, t in texts[at:stop])
+                expected.append((at, written, sum(cost[back:stop]) + (system if at else 0)))
+                at = stop
+        windows = chat_format.format_windows(df.repartition(5), budget, history, chunk)
+        assert sorted((w.window, w.formatted, w.n_tokens) for w in windows.collect()) == expected
+        assert [tuple(t) for t in chat_format.read_back(windows).first().turns] == texts
+
+
 def test_chat_query(spark):
     said = "\\### Assistant: </turn> ok"
     row = {r.conv_id: r for r in chat_format.op7_chat_format(spark, SF).collect()}[-7]
