@@ -136,7 +136,8 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every document, sorted by its first position over the whole table; documents not taken come last."""
     docs = table(spark, sf_dir, "documents")
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    # Written once: the sums, the parts' sums and the places all need the sizes, and texts are long.
+    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))
     mixed = mix(slim, size=F.col("words"))
     ordered = mixed.withColumn("position", F.get("positions", F.lit(0))).orderBy(F.col("position").asc_nulls_last(), "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", "taken")
