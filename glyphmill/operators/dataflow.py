@@ -77,6 +77,69 @@ def reverse_post_order(blocks: list[str], successors: dict[str, list[str]], entr
     return out[::-1]
 
 
+def control_flow(nodes: DataFrame) -> DataFrame:
+    """nodes(fn, block, parent, slot, idx, kind), the statements of functions, to edges(fn, src, dst) from "entry" to "exit".
+
+    Every statement is a block. parent is the statement around it (null: the function) and slot its place there: "then"
+    and "else" of an if, "else" of a guard, "body" of for, while, repeat, do, case, default and catch, "case" of a switch
+    (kinds case and default), "catch" of a do. Other kinds go on to what follows. A switch goes to its cases; a do
+    to its body and, as anything in it may throw, to its catches; a throw to the catches of the nearest do around it.
+    A guard whose else part runs out leaves the function, as do jumps without a target.
+    """
+
+    def run(fn, s: list[Row], e: list[Row]) -> list[tuple]:
+        inside = defaultdict(list)
+        for r in sorted(s, key=lambda r: (r.idx, r.block)):
+            inside[r.parent, r.slot].append(r)
+        edges = set()
+
+        def part(r: Row, slot: str, then: str, to: dict) -> str:
+            return sequence(inside[r.block, slot], then, to)
+
+        def sequence(rows: list[Row], then: str, to: dict) -> str:
+            """Links rows, of which the last goes on to `then`; the block where they begin. to: targets of jumps."""
+            for r in reversed(rows):
+                then = begin(r, then, to)
+            return then
+
+        def begin(r: Row, then: str, to: dict) -> str:
+            at, targets = r.block, [then]
+            if r.kind in ("return", "break", "continue", "fallthrough", "throw"):
+                targets = to.get(r.kind, ["exit"])
+            elif r.kind == "if":
+                targets = [part(r, "then", then, to), part(r, "else", then, to)]
+            elif r.kind == "guard":
+                targets = [then, part(r, "else", "exit", to)]
+            elif r.kind in ("for", "while", "repeat"):
+                body = part(r, "body", at, to | {"break": [then], "continue": [at]})
+                targets = [body, then]
+                if r.kind == "repeat":
+                    at = body
+            elif r.kind == "switch":
+                cases, following = [], then
+                for c in reversed(inside[r.block, "case"]):
+                    following = part(c, "body", then, to | {"break": [then], "fallthrough": [following]})
+                    edges.add((fn, c.block, following))
+                    cases.append(c.block)
+                targets = cases or [then]
+            elif r.kind == "do":
+                catches = []
+                for c in inside[r.block, "catch"]:
+                    edges.add((fn, c.block, part(c, "body", then, to)))
+                    catches.append(c.block)
+                targets = [part(r, "body", then, to | {"throw": catches} if catches else to), *catches]
+            edges.update((fn, r.block, t) for t in targets)
+            return at
+
+        edges.add((fn, _ENTRY, sequence(inside[None, None], "exit", {})))
+        return sorted(edges)
+
+    fn = nodes.schema["fn"].dataType.simpleString()
+    rows = nodes.select("fn", "block", "parent", F.when(F.col("parent").isNotNull(), F.col("slot")).alias("slot"), "idx", "kind")
+    none = rows.select("fn", F.col("block").alias("src"), F.col("block").alias("dst")).where("false")
+    return _grouped(rows, none, run, f"fn {fn}, src string, dst string")
+
+
 def live_variables(statements: DataFrame, edges: DataFrame) -> DataFrame:
     """(fn, block, live_in, live_out), sorted names. Backwards: in = use + (out - def), out = union of successors' in."""
 

@@ -109,3 +109,33 @@ SEVERITIES = {"high": "warning", "medium": "information", "low": "hint"}
 def severity(confidence: Column) -> Column:
     """Severity that an editor shows for a finding of this confidence; null for another one."""
     return F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])[confidence]
+
+
+def symbols_text(matches: DataFrame) -> DataFrame:
+    """matches(file, line, col, kind, name, generics, access, selector, context) to (file, report): a line a match, in
+    order, and under it the lines of its context (array or null), further in. Null generics and selectors are left out."""
+    generics = F.when(F.size("generics") > 0, F.concat(F.lit("<"), F.array_join("generics", ","), F.lit(">")))
+    place = F.concat_ws(":", F.col("line").cast("string"), F.col("col").cast("string"))
+    head = F.concat(F.lit("  "), F.concat_ws(" ", place, "kind", F.concat(F.col("name"), F.coalesce(generics, F.lit(""))), "access", "selector"))
+    below = F.transform(F.coalesce("context", F.array().cast("array<string>")), lambda x: F.concat(F.lit("    "), x))
+    text = F.array_join(F.concat(F.array(head), below), "\n")
+    rows = F.sort_array(F.collect_list(F.struct("line", "col", text.alias("text"))))
+    return matches.groupBy("file").agg(rows.alias("rows")).select("file", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("report"))
+
+
+def usages_text(usages: DataFrame, width: int = 100) -> DataFrame:
+    """usages(file, line, col, kind) to (file, report): places with the kind's first three letters, in order, in lines that
+    break before an item that would pass `width` characters. A line starts with two spaces, an item ends with one."""
+    item = F.format_string("%d:%d(%s)", F.col("line").cast("long"), F.col("col").cast("long"), F.substring("kind", 1, 3))
+    rows = F.sort_array(F.collect_list(F.struct("line", "col", "kind", item.alias("item"))))
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, r: Column) -> Column:
+        full = s["length"] + F.char_length(r["item"]) > width
+        lines = F.when(full, F.concat(s["lines"], F.array(s["items"]))).otherwise(s["lines"])
+        items = F.concat(F.when(full, F.lit("  ")).otherwise(s["items"]), r["item"], F.lit(" "))
+        return F.struct(lines.alias("lines"), items.alias("items"), F.char_length(items).alias("length"))
+
+    start = F.struct(none.alias("lines"), F.lit("  ").alias("items"), F.lit(2).alias("length"))
+    report = F.aggregate("rows", start, step, lambda s: F.array_join(F.concat(s["lines"], F.array(s["items"])), "\n"))
+    return usages.groupBy("file").agg(rows.alias("rows")).select("file", report.alias("report"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, incremental, minhash, reports, symbols, unused
-from . import graphs, similar
+from ..operators import dataflow, graph, incremental, minhash, reports, symbols, unused
+from . import graphs, lookups, similar
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -72,7 +72,35 @@ def sequence_similarity(spark: SparkSession, d: str) -> DataFrame:
     return both.select("id", F.round(exact, 9).alias("similarity"), (F.abs(exact - estimated) < 0.2).alias("near"))
 
 
+def symbols_report(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet")
+    matches = part.select(
+        F.concat(F.lit("f"), F.col("p_partkey") % 50).alias("file"), F.col("p_partkey").alias("line"), F.col("p_size").alias("col"), F.lit("class").alias("kind"),
+        F.concat(F.lit("P"), "p_partkey").alias("name"), F.when(F.col("p_size") % 3 == 0, F.array("p_brand", "p_type")).alias("generics"), F.lit("public").alias("access"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("make(of:)")).alias("selector"), F.when(F.col("p_size") % 5 == 0, F.array("p_type", "p_name")).alias("context"),
+    )
+    return reports.symbols_text(matches)
+
+
+def usages_report(spark: SparkSession, d: str) -> DataFrame:
+    kinds = symbols.usage_kind(F.col("roles"), 16, 8, 4)
+    return reports.usages_text(lookups._occurrences(spark, d).select("file", "line", "col", kinds.alias("kind")))
+
+
+def control_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as functions: returned lines are ifs around a return, accepted ones empty loops, the others plain."""
+    item = spark.read.parquet(f"{d}/lineitem.parquet")
+    lines = item.groupBy(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("idx")).agg(F.min("l_returnflag").alias("flag"))
+    block = F.concat(F.lit("b"), F.col("idx").cast("string"))
+    kind = F.when(F.col("flag") == "R", "if").when(F.col("flag") == "A", "while").otherwise("plain")
+    none = F.lit(None).cast("string")
+    outer = lines.select("fn", block.alias("block"), none.alias("parent"), none.alias("slot"), F.col("idx").cast("int").alias("idx"), kind.alias("kind"))
+    inner = outer.where("kind = 'if'").select("fn", F.concat("block", F.lit("r")).alias("block"), F.col("block").alias("parent"), F.lit("then").alias("slot"), F.lit(0).alias("idx"), F.lit("return").alias("kind"))
+    return dataflow.control_flow(outer.unionByName(inner))
+
+
 QUERIES = {
+    "z5_symbols_text": symbols_report, "z5_usages_text": usages_report, "d1_control_flow": control_flow,
     "x18_documentation": documentation, "x16_usr": symbol_identifiers, "z6_severity": severities, "n3_merge": merged_diagnostics, "s14_search": symbol_search, "g4_type_edges": type_edges,
     "a13_snippets": function_snippets, "r2_file_analysis": file_analysis, "m16_pair_similarity": sequence_similarity,
 }
@@ -80,6 +108,16 @@ QUERIES = {
 _ACCESS = "['private', 'fileprivate', 'internal', 'package', 'public', 'open']"
 
 ORACLES = {
+    "z5_symbols_text": """WITH m AS (SELECT 'f' || (p_partkey % 50) AS file, p_partkey, p_size, '  ' || p_partkey || ':' || p_size || ' class P' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '<' || p_brand || ',' || p_type || '>' ELSE '' END || ' public'
+|| CASE WHEN p_size % 2 = 0 THEN ' make(of:)' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN chr(10) || '    ' || p_type || chr(10) || '    ' || p_name ELSE '' END AS text FROM part)
+SELECT file, string_agg(text, chr(10) ORDER BY p_partkey, p_size) AS report FROM m GROUP BY file""",
+    "z5_usages_text": f"""WITH {lookups._O}, k AS (SELECT file, line, col, CASE WHEN roles & 16 <> 0 THEN 'call' WHEN roles & 8 <> 0 THEN 'write' WHEN roles & 4 <> 0 THEN 'read' ELSE 'reference' END AS kind FROM occ),
+g AS (SELECT file, list(line || ':' || col || '(' || kind[1:3] || ')' ORDER BY line, col, kind) AS items FROM k GROUP BY file)
+SELECT file, list_reduce(list_prepend('  ', items), lambda a, x: CASE WHEN length(regexp_extract(a, '[^\\n]*$')) + length(x) > 100 THEN a || chr(10) || '  ' ELSE a END || x || ' ') AS report FROM g""",
+    "d1_control_flow": """WITH l AS (SELECT l_orderkey AS fn, l_linenumber AS n, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL),
+b AS (SELECT fn, n, flag, 'b' || n AS src, coalesce('b' || lead(n) OVER (PARTITION BY fn ORDER BY n), 'exit') AS dst FROM l)
+SELECT fn, src, dst FROM b UNION ALL SELECT fn, src, src FROM b WHERE flag = 'A' UNION ALL SELECT fn, src, src || 'r' FROM b WHERE flag = 'R'
+UNION ALL SELECT fn, src || 'r', 'exit' FROM b WHERE flag = 'R' UNION ALL SELECT fn, 'entry', 'b' || min(n) FROM l GROUP BY fn""",
     "x18_documentation": """SELECT p_partkey AS id, p_name || ' ' || p_type AS summary, 'size: the size ' || p_size || '|other: value' AS parameters, CASE WHEN p_size % 3 = 0 THEN p_brand END AS returns, 'never' AS throws,
 CASE WHEN p_size % 5 = 0 THEN 'first goes on|second ' ELSE 'first goes on ' END AS notes FROM part""",
     "x16_usr": """WITH u AS (SELECT c_custkey, c_custkey % 50 = 0 AS c, 'item' || c_custkey AS n, ['C', 'V', 'O', 'P', 'y'][c_custkey % 5 + 1] AS m, c_custkey % 6 AS e FROM customer)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import checkpoints, discovery, indexed, repeats
+from glyphmill.operators import checkpoints, dataflow, discovery, indexed, repeats
 
 
 def _split(c):
@@ -130,3 +130,20 @@ def test_checkpoint_folder_on_a_cluster():
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
         with pytest.raises(RuntimeError):
             checkpoints.folder(master, None)
+
+
+def test_control_flow(spark):
+    """One function with every kind of statement, and one without statements in its loop."""
+    # block, parent, slot, idx, kind
+    rows = [
+        ("a", None, None, 0, "plain"), ("g", None, None, 1, "guard"), ("g1", "g", "else", 0, "return"), ("w", None, None, 2, "while"),
+        ("i", "w", "body", 0, "if"), ("i1", "i", "then", 0, "break"), ("i2", "i", "else", 0, "continue"), ("j", "w", "body", 1, "plain"),
+        ("s", None, None, 3, "switch"), ("c1", "s", "case", 0, "case"), ("c1a", "c1", "body", 0, "fallthrough"), ("c2", "s", "case", 1, "case"),
+        ("c2a", "c2", "body", 0, "plain"), ("c3", "s", "case", 2, "default"), ("d", None, None, 4, "do"), ("d1", "d", "body", 0, "throw"),
+        ("d2", "d", "catch", 0, "catch"), ("d2a", "d2", "body", 0, "defer"), ("r", None, None, 5, "repeat"), ("r1", "r", "body", 0, "plain"), ("t", None, None, 6, "throw"),
+    ]
+    df = spark.createDataFrame([(1, *x) for x in rows] + [(2, "f", None, None, 0, "for")], "fn long, block string, parent string, slot string, idx int, kind string")
+    got = {(r.fn, r.src, r.dst) for r in dataflow.control_flow(df.repartition(3)).collect()}
+    one = "entry-a a-g g-w g-g1 g1-exit w-i w-s i-i1 i-i2 i1-s i2-w j-w s-c1 s-c2 s-c3 c1-c1a c1a-c2a c2-c2a c2a-d c3-d d-d1 d-d2 d1-d2 d2-d2a d2a-r1 r1-r r-r1 r-t t-exit"
+    assert got == {(1, *x.split("-")) for x in one.split()} | {(2, "entry", "f"), (2, "f", "f"), (2, "f", "exit")}
+    assert dataflow.control_flow(df.limit(0)).count() == 0
