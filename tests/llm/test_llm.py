@@ -352,10 +352,22 @@ def test_long_chat_in_chunks(spark):
 
 
 def test_chat_query(spark):
+    """Every conversation's digests from its rows; the formatted length from the windows."""
     said = "\\### Assistant: </turn> ok"
-    row = {r.conv_id: r for r in chat_format.op7_chat_format(spark, SF).collect()}[-7]
-    assert row.n_turns == 2 and row.loss_chars == len(said) and row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
-    assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    turns = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect():
+        turns[r.conv_id].append((r.turn is None, r.turn or 0, r.role or "", r.text or ""))
+    turns[-7] = [(False, 0, "user", said), (False, 1, "assistant", said)]
+    got = {r.conv_id: r for r in chat_format.op7_chat_format(spark, SF).collect()}
+    assert set(got) == set(turns)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for c, rows in turns.items():
+        rows.sort()
+        learnt = "".join(t for *_, r, t in rows if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(rows), sha("".join(f"{r}\n{t}\n" for *_, r, t in rows)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learnt), sha(learnt))
+        escaped = [t.replace("\\", "\\\\").replace("###", "\\h").replace("</turn>", "\\e") for *_, t in rows]
+        assert got[c].formatted_chars >= sum(len(f"### {r}: {t}</turn>\n") for (*_, r, _), t in zip(rows, escaped, strict=True))
 
 
 # -- 8 personal data
