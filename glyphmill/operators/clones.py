@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
+from . import shingled
 
 
 def windows(df: DataFrame, tokens: Column, size: int, key: str = "file") -> DataFrame:
@@ -72,6 +73,14 @@ def repeated_classes(df: DataFrame, tokens: Column, size: int, key: str = "file"
     return named.select("c.*")
 
 
+def kept_counts(df: DataFrame, tokens: Column, size: int, key: str = "file") -> DataFrame:
+    """(gram, kept) of windows that occur twice or more: how many without_overlaps() keeps. The fold runs within a
+    document, so only its counts are moved."""
+    found = shingled.places(df, tokens, size, key, size - size // 2)
+    kept = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")).where("n >= 2")
+    return kept.select(shingled.hexed().alias("gram"), "kept")
+
+
 def repeated(found: DataFrame, key: str = "file") -> DataFrame:
     """Windows whose gram occurs twice or more; counts are pre-aggregated and joined back."""
     often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2").select("gram")

@@ -32,8 +32,7 @@ def _windows(spark: SparkSession, d: str, size: int = WINDOW) -> DataFrame:
 
 def nonoverlapping(spark: SparkSession, d: str) -> DataFrame:
     """Repeated windows without those that overlap the last kept one of their file, by gram."""
-    kept = clones.without_overlaps(_windows(spark, d), WINDOW, least=2)
-    return kept.groupBy("gram").agg(F.count("*").alias("kept"))
+    return clones.kept_counts(_documents(spark, d), tokens(F.col("text")), WINDOW)
 
 
 def greedy(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import checkpoints, dataflow, discovery, indexed, repeats
+from glyphmill.operators import checkpoints, clones, dataflow, discovery, indexed, repeats, shingled
 
 
 def _split(c):
@@ -147,3 +147,19 @@ def test_control_flow(spark):
     one = "entry-a a-g g-w g-g1 g1-exit w-i w-s i-i1 i-i2 i1-s i2-w j-w s-c1 s-c2 s-c3 c1-c1a c1a-c2a c2-c2a c2a-d c3-d d-d1 d-d2 d1-d2 d2-d2a d2a-r1 r1-r r-r1 r-t t-exit"
     assert got == {(1, *x.split("-")) for x in one.split()} | {(2, "entry", "f"), (2, "f", "f"), (2, "f", "exit")}
     assert dataflow.control_flow(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_window_counts_over_chunks(spark, size):
+    """Classes, kept windows and greedy groups equal the operators on all windows; only counts leave a document."""
+    draw = np.random.default_rng(5)
+    texts = {i: [str(x) for x in draw.integers(0, 3, int(n))] for i, n in enumerate(draw.integers(0, 40, 30))} | {40: ["é"] * 90, 41: ["é"] * 4, 42: ["o", "ß"] * 30}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()] + [(50, None), (51, "")], "file long, text string")
+    found = clones.windows(df, _split(F.col("text")), size)
+    kept = {r.gram: r["count"] for r in clones.without_overlaps(found, size, least=2).groupBy("gram").count().collect()}
+    assert {r.gram: r.kept for r in clones.kept_counts(df, _split(F.col("text")), size).collect()} == kept
+    greedy = {r.gram: (r.groups, r.members) for r in clones.greedy_groups(found, size).groupBy("gram").agg(F.count_distinct("seed").alias("groups"), F.count("*").alias("members")).collect()}
+    assert {r.gram: (r.groups, r.members) for r in clones.greedy_counts(df, _split(F.col("text")), size).collect()} == greedy
+    classes = {r.gram: (r.n, r.d) for r in found.groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("file").alias("d")).where("n >= 2").collect()}
+    assert {r.fingerprint: (r.occurrences, r.documents) for r in clones.repeated_classes(df, _split(F.col("text")), size).collect()} == classes
+    assert clones.kept_counts(df.limit(0), F.split("text", " "), size).count() == 0
