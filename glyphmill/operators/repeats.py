@@ -5,39 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from . import shingled
 
 
-def repeat_groups(df: DataFrame, tokens: Column, size: int, key: str = "file", most_rounds: int = 40) -> DataFrame:
+def repeat_groups(df: DataFrame, tokens: Column, size: int, key: str = "file") -> DataFrame:
     """(gram, occurrences, documents, length, maximal) of windows of `size` tokens that occur twice or more.
 
     length: tokens that all occurrences of the window share from its start on, its own `size` at least. maximal: not
     all occurrences follow on one and the same window, so that none of them can be extended to the left together.
     Texts without tokens, or shorter than a window, have no rows; repeats don't run over a text's end.
 
-    A class is one step longer where all its occurrences go on with one window, which then is a class too. Classes
-    are pre-aggregated, so a frequent window is one row, and the steps are counted by doubling: about log2 of the
-    longest repeat in rounds, each a join of classes by their 128-bit names.
+    A class is one step longer where all its occurrences go on with one window, which then is a class too, so the steps
+    are counted within one of its documents, once it is known of each class whether it goes on.
     """
-    starts = F.sequence(F.lit(1), F.size("t") - size + 1)
-    grams = F.transform(starts, lambda i: F.md5(F.array_join(F.slice("t", i, size), " ").cast("binary")))
-    none = F.array(F.lit(None).cast("string"))
-    cutup = df.select(key, tokens.alias("t")).where(F.size("t") >= size).select(key, grams.alias("g"))
-    each = cutup.select(key, F.explode(F.arrays_zip(F.col("g").alias("gram"), F.concat(F.slice("g", 2, F.size("g")), none).alias("after"), F.concat(none, F.slice("g", F.lit(1), F.size("g") - 1)).alias("before"))).alias("w")).select(key, "w.*")
-    by_text = each.groupBy("gram", key).agg(F.count("*").alias("n"), F.count("after").alias("afters"), F.min("after").alias("a"), F.max("after").alias("z"), F.count("before").alias("befores"), F.min("before").alias("b"), F.max("before").alias("y"))
-    n = F.sum("n")
-    goes_on = F.coalesce((F.sum("afters") == n) & (F.min("a") == F.max("z")), F.lit(False))
-    follows = F.coalesce((F.sum("befores") == n) & (F.min("b") == F.max("y")), F.lit(False))
-    classes = cut(by_text.groupBy("gram").agg(n.alias("occurrences"), F.count("*").alias("documents"), F.when(goes_on, F.min("a")).alias("to"), (~follows).alias("maximal")).where("occurrences >= 2"))
-    hops = cut(classes.select("gram", "to", F.col("to").isNotNull().cast("long").alias("steps")))
-    for _ in range(most_rounds):
-        if hops.where("to is not null").isEmpty():
-            break
-        further = hops.select(F.col("gram").alias("to"), F.col("to").alias("then"), F.col("steps").alias("more"))
-        hops = cut(hops.join(further, "to", "left").select("gram", F.col("then").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-    else:
-        raise RuntimeError(f"lengths have not settled after {most_rounds} rounds")
-    return classes.join(hops.select("gram", "steps"), "gram").select("gram", "occurrences", "documents", (F.col("steps") + size).alias("length"), "maximal")
+    return shingled.lengths(df, tokens, size, key).select(shingled.hexed().alias("gram"), "occurrences", "documents", "length", "maximal")
 
 
 def refreshed_tokens(files: DataFrame, cached: DataFrame, extract) -> DataFrame:

@@ -52,6 +52,7 @@ class Chunk:
 
     def __init__(self, rows: pa.Table, key: str, size: int):
         rows = rows.take(pc.sort_indices(rows.column(key)))
+        self.number = rows.column("chunk")[0].as_py() if len(rows) else None
         self.keys = rows.column(key).combine_chunks().dictionary_encode()
         texts = pc.fill_null(rows.column("t"), "").cast(pa.large_string()).combine_chunks()
         texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
@@ -107,20 +108,28 @@ class Chunk:
         for i in range(0, len(at), 100_000):
             part = b"".join([md5(text[x : x + y]).digest() for x, y in zip(s[i : i + 100_000].tolist(), n[i : i + 100_000].tolist(), strict=True)])
             found[i : i + 100_000] = np.frombuffer(part, ">i8").reshape(-1, 2)
-        return self.of_row[self.row[at]], self.start[at].astype(np.int64), found[:, 0], found[:, 1]
+        return self.row[at], self.start[at].astype(np.int64), found[:, 0], found[:, 1]
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Rising numbers as their steps, all lowest bytes first."""
-    steps = np.diff(x, prepend=np.uint64(0)).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes()
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of numbers, all lowest bytes first."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _unpacked(x: bytes) -> np.ndarray:
-    planes = np.frombuffer(x, np.uint8).reshape(BITS // 8, -1)
-    steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, : BITS // 8] = planes.T
-    return np.cumsum(steps.view("<u8")[:, 0].astype(np.uint64))
+def _numbers(x: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(x, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8")[:, 0].astype(np.uint64)
+
+
+def _packed(x: np.ndarray, width: int = BITS // 8) -> bytes:
+    """Rising numbers as their steps."""
+    return _planes(np.diff(x, prepend=np.uint64(0)), width)
+
+
+def _unpacked(x: bytes, width: int = BITS // 8) -> np.ndarray:
+    return np.cumsum(_numbers(x, width))
 
 
 def changes(*columns: np.ndarray) -> np.ndarray:
@@ -168,7 +177,7 @@ class Found:
         self.replies = hashes.groupBy("bucket").applyInArrow(met, "chunk int, bucket int, bits binary")
 
     def over(self, work, schema: str) -> DataFrame:
-        """work(chunk, key numbers, starts, a, b) of each chunk, to a table."""
+        """work(chunk, rows, starts, a, b) of each chunk, to a table."""
         key, size, buckets = self.key, self.size, self.buckets
 
         def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
@@ -177,6 +186,17 @@ class Found:
 
         return self.texts.groupBy("chunk").cogroup(self.replies.groupBy("chunk")).applyInArrow(run, schema)
 
+    def again(self, later: DataFrame, work, schema: str) -> DataFrame:
+        """over() with the rows of later(chunk, ...) as another argument."""
+        key, size, buckets = self.key, self.size, self.buckets
+
+        def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
+            chunk = Chunk(rows, key, size)
+            return work(chunk, replies.filter(pc.is_null(replies.column("bits"))), *chunk.repeated(replies.filter(pc.is_valid(replies.column("bits"))), buckets))
+
+        both = self.replies.unionByName(later, allowMissingColumns=True)
+        return self.texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(run, schema)
+
 
 def hexed(a: str = "a", b: str = "b") -> Column:
     """The md5 as text from its halves."""
@@ -190,7 +210,8 @@ def places(df: DataFrame, tokens: Column, size: int, key: str, gap: int) -> Data
     found = Found(df, tokens, size, key)
     kind = found.kind
 
-    def work(chunk: Chunk, doc, start, a, b) -> pa.Table:
+    def work(chunk: Chunk, row, start, a, b) -> pa.Table:
+        doc = chunk.of_row[row]
         order = np.lexsort((start, doc, b, a))
         a, b, doc, start = a[order], b[order], doc[order], start[order]
         runs = changes(a, b, doc)
@@ -218,3 +239,102 @@ def places(df: DataFrame, tokens: Column, size: int, key: str, gap: int) -> Data
         return pa.table(columns, names=["a", "b", "n", "documents", "kept", key, "start", "skipped"])
 
     return found.over(work, f"a long, b long, n long, documents long, kept long, {key} {kind}, start long, skipped long")
+
+
+class Classes:
+    """A chunk's windows that may be repeated, by class: first place of each, class of each place, places and documents."""
+
+    def __init__(self, chunk: Chunk, row, start, a, b):
+        x, y, doc = a.view(np.uint64), b.view(np.uint64), chunk.of_row[row]
+        order = np.lexsort((doc, y, x))
+        runs = changes(x[order], y[order])
+        self.first, self.places = order[runs], np.diff(np.append(runs, len(order)))
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.repeat(np.arange(len(runs)), self.places)
+        new = np.zeros(len(order), np.int64)
+        new[changes(x[order], y[order], doc[order])] = 1
+        self.documents = np.add.reduceat(new, runs) if len(runs) else np.empty(0, np.int64)
+        # 96 bits name a class among chunks
+        self.a, self.b = x[self.first], y[self.first] & np.uint64((1 << 32) - 1)
+        follows = np.zeros(len(row), bool)
+        follows[1:] = (row[1:] == row[:-1]) & (start[1:] == start[:-1] + 1)
+        mark = (y & np.uint64((1 << 48) - 1)) | np.uint64(1)
+        before, after = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+        before[1:] = np.where(follows[1:], mark[:-1], np.uint64(0))
+        after[:-1] = np.where(follows[1:], mark[1:], np.uint64(0))
+        self.before, self.after = (_common(m[order], runs) for m in (before, after))
+
+    def splits(self, buckets: int) -> np.ndarray:
+        return np.searchsorted((self.a >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), np.arange(buckets + 1))
+
+
+def _common(marks: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The mark that all of a run's rows have, else 0, which stands for none."""
+    if not len(runs):
+        return np.empty(0, np.uint64)
+    low, high = np.minimum.reduceat(marks, runs), np.maximum.reduceat(marks, runs)
+    return np.where(low == high, low, np.uint64(0))
+
+
+def lengths(df: DataFrame, tokens: Column, size: int, key: str) -> DataFrame:
+    """(a, b, occurrences, documents, length, maximal) of windows that occur twice or more, as repeat_groups() has them.
+
+    A class is further where all its places go on with one window. Chunks tell their classes with 48-bit marks of the
+    windows before and after, and get a bit back for each that is; lengths are then counted within a document, as steps
+    to the next window that isn't. Of the chunks that hold a class the first returns it. Tokens hold no spaces."""
+    found = Found(df, tokens, size, key)
+    buckets = found.buckets
+    widths = {"a": 8, "b": 4, "before": 6, "after": 6, "places": 5, "documents": 5}
+
+    def told(chunk: Chunk, row, start, a, b) -> pa.Table:
+        c = Classes(chunk, row, start, a, b)
+        split = c.splits(buckets)
+        some = [i for i in range(buckets) if split[i + 1] > split[i]]
+        out = {"bucket": pa.array(some, pa.int32()), "chunk": pa.array([chunk.number] * len(some), pa.int32())}
+        for name, width in widths.items():
+            out[name] = pa.array([(_packed if name == "a" else _planes)(getattr(c, name)[split[i] : split[i + 1]], width) for i in some], pa.binary())
+        return pa.table(out)
+
+    def met(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows.column("chunk")))
+        each = {n: [(_unpacked if n == "a" else _numbers)(x, w) for x in rows.column(n).to_pylist()] for n, w in widths.items()}
+        size_of = [len(x) for x in each["a"]]
+        every = {n: np.concatenate(x) for n, x in each.items()}
+        order = np.lexsort((np.arange(len(every["a"])), every["b"], every["a"]))
+        runs = changes(every["a"][order], every["b"][order])
+        n, documents = (np.add.reduceat(every[x][order], runs) for x in ("places", "documents"))
+        before, after = (_common(every[x][order], runs) for x in ("before", "after"))
+        code = np.where(n >= 2, (after > 0) * 1 + (before == 0) * 2, 0).astype(np.uint8)
+        codes, own = np.empty(len(order), np.uint8), order[runs][n >= 2]
+        codes[order] = np.repeat(code, np.diff(np.append(runs, len(order))))
+        codes[own] |= 4
+        totals = {"occurrences": np.zeros(len(order), np.uint64), "documents": np.zeros(len(order), np.uint64)}
+        totals["occurrences"][own], totals["documents"][own] = n[n >= 2], documents[n >= 2]
+        ends = np.cumsum([0, *size_of])
+        parts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        out = {"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "codes": pa.array([codes[p].tobytes() for p in parts], pa.binary())}
+        for name, x in totals.items():
+            out[name] = pa.array([_planes(x[p][codes[p] >= 4], 5) for p in parts], pa.binary())
+        return pa.table(out)
+
+    def counted(chunk: Chunk, replies: pa.Table, row, start, a, b) -> pa.Table:
+        c = Classes(chunk, row, start, a, b)
+        split = c.splits(buckets)
+        codes = np.zeros(len(c.a), np.uint8)
+        totals = {x: np.zeros(len(c.a), np.int64) for x in ("occurrences", "documents")}
+        for r in replies.select(["bucket", "codes", *totals]).to_pylist():
+            part = slice(split[r["bucket"]], split[r["bucket"] + 1])
+            codes[part] = np.frombuffer(r["codes"], np.uint8)
+            for name, x in totals.items():
+                x[part][codes[part] >= 4] = _numbers(r[name], 5)
+        own = np.flatnonzero(codes >= 4)
+        stops = np.flatnonzero(codes[c.of] & 1 == 0)
+        at = c.first[own]
+        steps = stops[np.searchsorted(stops, at)] - at
+        columns = [a[at], b[at], totals["occurrences"][own], totals["documents"][own], steps + size, codes[own] & 2 > 0]
+        return pa.table([pa.array(x) for x in columns], names=["a", "b", "occurrences", "documents", "length", "maximal"])
+
+    blobs = ", ".join(f"{x} binary" for x in widths)
+    classes = found.over(told, f"bucket int, chunk int, {blobs}")
+    replies = classes.groupBy("bucket").applyInArrow(met, "chunk int, bucket int, codes binary, occurrences binary, documents binary")
+    return found.again(replies, counted, "a long, b long, occurrences long, documents long, length long, maximal boolean")
