@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,17 +127,24 @@ def symbols_text(matches: DataFrame) -> DataFrame:
 
 def usages_text(usages: DataFrame, width: int = 100) -> DataFrame:
     """usages(file, line, col, kind) to (file, report): places with the kind's first three letters, in order, in lines that
-    break before an item that would pass `width` characters. A line starts with two spaces, an item ends with one."""
-    item = F.format_string("%d:%d(%s)", F.col("line").cast("long"), F.col("col").cast("long"), F.substring("kind", 1, 3))
-    rows = F.sort_array(F.collect_list(F.struct("line", "col", "kind", item.alias("item"))))
-    none = F.array().cast("array<string>")
-
-    def step(s: Column, r: Column) -> Column:
-        full = s["length"] + F.char_length(r["item"]) > width
-        lines = F.when(full, F.concat(s["lines"], F.array(s["items"]))).otherwise(s["lines"])
-        items = F.concat(F.when(full, F.lit("  ")).otherwise(s["items"]), r["item"], F.lit(" "))
-        return F.struct(lines.alias("lines"), items.alias("items"), F.char_length(items).alias("length"))
-
-    start = F.struct(none.alias("lines"), F.lit("  ").alias("items"), F.lit(2).alias("length"))
-    report = F.aggregate("rows", start, step, lambda s: F.array_join(F.concat(s["lines"], F.array(s["items"])), "\n"))
-    return usages.groupBy("file").agg(rows.alias("rows")).select("file", report.alias("report"))
+    break before an item that would pass `width` characters. A line starts with two spaces, an item ends with one.
+
+    Where a line breaks hangs on all before it, so a file is one fold, which adds to its last line only.
+    """
+    kind = dict(usages.dtypes)["file"]
+    places = usages.select("file", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), "kind")
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = [(c, "ascending") for c in ("line", "col", "kind")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+        lines, items, length = [], [], 2
+        for line, col, name in zip(*[rows.column(c).to_pylist() for c in ("line", "col", "kind")], strict=True):
+            item = "%s:%s(%s)" % tuple("null" if x is None else x for x in (line, col, name[:3] if name is not None else None))
+            if length + len(item) > width:
+                lines.append("  " + "".join(items))
+                items, length = [], 2
+            items.append(item + " ")
+            length += len(item) + 1
+        return pa.table({"file": rows.column("file")[:1], "report": pa.array(["\n".join([*lines, "  " + "".join(items)])], pa.string())})
+
+    return places.groupBy("file").applyInArrow(run, f"file {kind}, report string")
