@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,57 +17,12 @@ def windows(df: DataFrame, tokens: Column, size: int, key: str = "file") -> Data
     return df.select(key, tokens.alias("t")).where(F.size("t") >= size).select(key, F.explode(grams).alias("g")).select(key, "g.start", "g.gram")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, elementwise on uint64."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
-def _window_keys(size: int, key: str):
-    """Rows (key, t: tokens) to (a, b, key, start, n): 128 bits of each of a row's different windows, the first start
-    and how often it occurs there. Tokens are hashed once a batch, windows by steps over all of the batch."""
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column("t")
-            coded = lists.flatten().dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            words = [w.encode() for w in coded.dictionary.to_pylist()]
-            ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
-            first = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]) if len(ends) > 1 else np.empty(0, np.int64)
-            row = np.repeat(np.arange(batch.num_rows), np.maximum(np.diff(ends) - size + 1, 0))
-            lanes = []
-            for seed in (1, 2):
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))[codes]
-                lane = np.full(len(first), seed, np.uint64)
-                for j in range(size):
-                    lane = _mixed(lane * np.uint64(0x9E3779B97F4A7C15) + hashes[first + j])
-                lanes.append(lane.view(np.int64))
-            order = np.lexsort((first, lanes[1], lanes[0], row))
-            a, b, r = lanes[0][order], lanes[1][order], row[order]
-            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (r[1:] != r[:-1])]) if len(a) else np.empty(0, np.int64)
-            start = (first - ends[row])[order][new]
-            counts = np.diff(np.append(new, len(a)))
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), batch.column(key).take(pa.array(r[new])), pa.array(start.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["a", "b", key, "start", "n"])
-
-    return run
-
-
 def repeated_classes(df: DataFrame, tokens: Column, size: int, key: str = "file") -> DataFrame:
     """(fingerprint, occurrences, documents) of windows of `size` tokens that occur twice or more; the fingerprint is the md5
-    of the tokens joined by spaces.
-
-    Windows meet by 128-bit keys, one row a window and document, pre-aggregated before the exchange; the md5 is
-    computed for one window of each class only, in the first document that has it.
-    """
-    cutup = df.select(key, tokens.alias("t")).where(F.size("t") >= size)
-    kind = dict(cutup.dtypes)[key]
-    found = cutup.mapInArrow(_window_keys(size, key), f"a long, b long, {key} {kind}, start long, n long")
-    classes = found.groupBy("a", "b").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"), F.min(F.struct(key, "start")).alias("at")).where("occurrences >= 2")
-    wanted = classes.groupBy(F.col(f"at.{key}").alias(key)).agg(F.collect_list(F.struct("at.start", "occurrences", "documents")).alias("found"))
-    named = cutup.join(wanted, key).select(F.explode(F.transform("found", lambda x: F.struct(F.md5(F.array_join(F.slice("t", (x["start"] + 1).cast("int"), size), " ").cast("binary")).alias("fingerprint"), x["occurrences"].alias("occurrences"), x["documents"].alias("documents")))).alias("c"))
-    return named.select("c.*")
+    of the tokens joined by spaces. Only windows that may be repeated leave their chunk of texts (see shingled)."""
+    found = shingled.places(df, tokens, size, key, size - size // 2)
+    classes = found.groupBy("a", "b").agg(F.sum("n").alias("occurrences"), F.sum("documents").alias("documents")).where("occurrences >= 2")
+    return classes.select(shingled.hexed().alias("fingerprint"), "occurrences", "documents")
 
 
 def kept_counts(df: DataFrame, tokens: Column, size: int, key: str = "file") -> DataFrame:
