@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +32,14 @@ def kept_counts(df: DataFrame, tokens: Column, size: int, key: str = "file") ->
     return kept.select(shingled.hexed().alias("gram"), "kept")
 
 
+def greedy_counts(df: DataFrame, tokens: Column, size: int, key: str = "file") -> DataFrame:
+    """(gram, groups, members) of greedy_groups(): the first window's group, which has all but those that overlap it."""
+    found = shingled.places(df, tokens, size, key, size - size // 2)
+    first = F.min(F.struct(key, "start", "skipped"))["skipped"]
+    groups = found.groupBy("a", "b").agg((F.sum("n") - first).alias("members")).where("members >= 2")
+    return groups.select(shingled.hexed().alias("gram"), F.lit(1).cast("long").alias("groups"), "members")
+
+
 def repeated(found: DataFrame, key: str = "file") -> DataFrame:
     """Windows whose gram occurs twice or more; counts are pre-aggregated and joined back."""
     often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2").select("gram")
@@ -64,23 +71,14 @@ def greedy_groups(found: DataFrame, size: int) -> DataFrame:
     """found(gram, file, start) to (gram, seed, file, start): seed-greedy groups of two windows or more.
 
     In order of file and start each ungrouped window seeds a group and takes all later ungrouped windows of its gram
-    but those that overlap the seed, in its file, by more than half a window; those may seed another group.
+    but those that overlap the seed, in its file, by more than half a window. These all overlap each other by as much,
+    so none of them seeds a group of two: a gram has one group, that of its first window.
     """
-    half = size // 2
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = sorted(zip(pdf["file"], pdf["start"], strict=True))
-        out, gram = [], pdf["gram"].iloc[0]
-        while rest:
-            (file, start), skipped, group = rest[0], [], [rest[0]]
-            for f, s in rest[1:]:
-                (skipped if f == file and size - abs(s - start) > half else group).append((f, s))
-            if len(group) > 1:
-                out += [(gram, f"{file}:{start}", f, s) for f, s in group]
-            rest = skipped
-        return pd.DataFrame(out, columns=["gram", "seed", "file", "start"]).astype({"file": "int64", "start": "int32"})
-
-    return found.groupBy("gram").applyInPandas(run, "gram string, seed string, file long, start int")
+    seeds = found.groupBy("gram").agg(F.min(F.struct("file", "start")).alias("s"))
+    near = (F.col("file") == F.col("s.file")) & (F.col("start") != F.col("s.start")) & (size - (F.col("start") - F.col("s.start")) > size // 2)
+    group = found.join(seeds, "gram").where(~near)
+    often = group.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2").select("gram")
+    return group.join(often, "gram").select("gram", F.concat_ws(":", "s.file", "s.start").alias("seed"), F.col("file").cast("long").alias("file"), F.col("start").cast("int").alias("start"))
 
 
 def pattern_places(df: DataFrame, tokens: Column, patterns: DataFrame, size: int, key: str = "file") -> DataFrame:

@@ -26,10 +26,6 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(_t(spark, d, "documents").select(F.col("doc_id").alias("file"), "text"))
 
 
-def _windows(spark: SparkSession, d: str, size: int = WINDOW) -> DataFrame:
-    return clones.windows(_documents(spark, d), tokens(F.col("text")), size)
-
-
 def nonoverlapping(spark: SparkSession, d: str) -> DataFrame:
     """Repeated windows without those that overlap the last kept one of their file, by gram."""
     return clones.kept_counts(_documents(spark, d), tokens(F.col("text")), WINDOW)
@@ -37,8 +33,7 @@ def nonoverlapping(spark: SparkSession, d: str) -> DataFrame:
 
 def greedy(spark: SparkSession, d: str) -> DataFrame:
     """Seed-greedy groups, by gram: groups and members."""
-    found = clones.greedy_groups(clones.repeated(_windows(spark, d)), WINDOW)
-    return found.groupBy("gram").agg(F.count_distinct("seed").alias("groups"), F.count("*").alias("members"))
+    return clones.greedy_counts(_documents(spark, d), tokens(F.col("text")), WINDOW)
 
 
 def normalised_classes(spark: SparkSession, d: str) -> DataFrame:
