@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import type_names
 from .checkpoints import cut
 
+#: Parts over which the methods of one name are dealt.
+PARTS = 8
+
 
 def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(id, depth) of what the roots reach, themselves included at depth 0.
@@ -164,10 +167,26 @@ def member_edges(declarations: DataFrame, compat_path_match: bool = False) -> Da
     methods = declarations.where(F.col("kind").isin("function", "method", "initializer")).select("id", "name", "kind", "scope_id")
     owns = F.col("scope_id").contains(F.col("type_name")) if compat_path_match else F.col("scope_id") == F.col("own_scope")
     owned = types.join(methods, owns)
-    calls = owned.where("type_kind <> 'protocol'").select(F.col("type_id").alias("src"), F.col("id").alias("dst"), F.lit("call").alias("kind"))
-    required = owned.where("type_kind = 'protocol'").select(F.col("id").alias("src"), "name", F.col("kind").alias("of_kind"), F.col("scope_id").alias("own"))
-    witnesses = required.join(methods.select(F.col("id").alias("dst"), "name", F.col("kind").alias("of_kind"), "scope_id"), ["name", "of_kind"]).where("scope_id <> own")
-    return calls.unionByName(witnesses.select("src", "dst", F.lit("typeReference").alias("kind"))).distinct()
+    calls = owned.where("type_kind <> 'protocol'").select(F.col("type_id").alias("src"), F.col("id").alias("dst")).distinct().withColumn("kind", F.lit("call"))
+    required = _keyed(owned.where("type_kind = 'protocol'").select("id", "name", "kind", "scope_id"), "src", "own")
+    # few names may have all the methods, so one side of each is dealt over PARTS and the other goes to all of them
+    required = required.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    other = _keyed(methods, "dst", "scopes").withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(PARTS)).cast("int"))
+    dealt = max(4 * declarations.sparkSession.sparkContext.defaultParallelism, PARTS)
+    key = ["name", "of_kind", "part"]
+    differ = (F.size("own") > 1) | (F.size("scopes") > 1) | (F.col("own")[0] != F.col("scopes")[0])
+    met = required.repartition(dealt, *key).join(other.repartition(dealt, *key), key).where(differ)
+    # ids of one name and kind each meet once
+    twice = (F.col("src_keys") > 1) & (F.col("dst_keys") > 1)
+    witnesses = met.where(~twice).select("src", "dst").unionByName(met.where(twice).select("src", "dst").distinct())
+    return calls.unionByName(witnesses.withColumn("kind", F.lit("typeReference")))
+
+
+def _keyed(methods: DataFrame, id: str, scopes: str) -> DataFrame:
+    """A row an id, name and kind: its scopes, and how many names and kinds the id has."""
+    rows = methods.where("name is not null and kind is not null and scope_id is not null").groupBy("id", "name", F.col("kind").alias("of_kind")).agg(F.collect_set("scope_id").alias(scopes))
+    several = rows.groupBy("id").agg(F.count("*").alias(f"{id}_keys"))
+    return rows.join(several, "id").withColumnRenamed("id", id)
 
 
 def index_edges(occurrences: DataFrame, definition: int, reference: int) -> DataFrame:
