@@ -80,14 +80,18 @@ def all_similar(signatures: DataFrame, n: int, threshold: float) -> DataFrame:
     """signatures(id, sig of n values) to (id1, id2, similarity), id1 < id2, by similarity: exactly the pairs whose
     signatures agree in a share of threshold or more of their places.
 
-    Such a pair agrees in one of the first n - ceil(threshold * n) + 1 places, so only rows that share one of these meet.
+    Such a pair differs in n - ceil(threshold * n) places at most, so of one more than as many bands, into which all places
+    are cut, it agrees in one whole band; only rows that share a band meet.
     """
     need = math.ceil(threshold * n - 1e-9)
     if need < 1:
         raise ValueError("the threshold must be above 0")
+    bands = n - need + 1
+    bounds = [n * b // bands for b in range(bands + 1)]
     usable = signatures.where(F.size("sig") == n).select("id", "sig")
-    keyed = usable.select("id", F.posexplode(F.slice("sig", 1, n - need + 1)).alias("place", "value"))
-    met = keyed.select(F.col("id").alias("id1"), "place", "value").join(keyed.select(F.col("id").alias("id2"), "place", "value"), ["place", "value"]).where("id1 < id2").select("id1", "id2").distinct()
+    # a band's hash may stand for two bands, which costs a pair that is left out below
+    keyed = usable.select("id", F.posexplode(F.array(*[F.xxhash64(F.slice("sig", a + 1, b - a)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])).alias("band", "value"))
+    met = keyed.select(F.col("id").alias("id1"), "band", "value").join(keyed.select(F.col("id").alias("id2"), "band", "value"), ["band", "value"]).where("id1 < id2").select("id1", "id2").distinct()
     side = lambda k: usable.select(F.col("id").alias(f"id{k}"), F.col("sig").alias(f"s{k}"))
     both = met.join(side(1), "id1").join(side(2), "id2").select("id1", "id2", signature_similarity(F.col("s1"), F.col("s2")).alias("similarity"))
     return both.where(F.col("similarity") >= threshold).orderBy(F.col("similarity").desc(), "id1", "id2")

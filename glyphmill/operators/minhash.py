@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,27 +45,40 @@ def folded(x: np.ndarray) -> np.ndarray:
     return np.where(y >= m, y - m, y)
 
 
+def _minima(x: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if x is None or not len(x):
+        return np.full(len(a), -1, np.int64)
+    x = np.asarray(x, np.int64).view(np.uint64)
+    best = np.full(len(a), _MASK, np.uint64)
+    for i in range(0, len(x), 512):
+        np.minimum(best, folded(a[:, None] * x[None, i : i + 512] + b[:, None]).min(axis=1), out=best)
+    return best.view(np.int64)
+
+
 def signature(hashes: Column, n: int = 256, seed: int = 42) -> Column:
     """Array of n minima of fold(a x + b mod 2^64) over the hashes; of no hashes all ones (-1)."""
     a, b = coefficients(n, seed)
 
     @F.pandas_udf("array<bigint>")
     def run(column: pd.Series) -> pd.Series:
-        out = []
-        for x in column:
-            if x is None or not len(x):
-                out.append(np.full(n, -1, np.int64))
-                continue
-            x = np.asarray(x, np.int64).view(np.uint64)
-            best = np.full(n, _MASK, np.uint64)
-            for i in range(0, len(x), 512):
-                np.minimum(best, folded(a[:, None] * x[None, i : i + 512] + b[:, None]).min(axis=1), out=best)
-            out.append(best.view(np.int64))
-        return pd.Series(out)
+        return pd.Series([_minima(x, a, b) for x in column])
 
     return run(hashes)
 
 
+def signed_sets(docs: DataFrame, n: int = 256, seed: int = 42) -> DataFrame:
+    """docs(id, hashes) to (id, digest, sig): the set's digest, equal for equal sets, and its signature, in one pass."""
+    a, b = coefficients(n, seed)
+
+    def run(column: pd.Series) -> pd.DataFrame:
+        sets = [np.sort(np.asarray(x if x is not None else [], np.int64)) for x in column]
+        return pd.DataFrame({"digest": [hashlib.sha256(x.tobytes()).digest() for x in sets], "sig": [_minima(x, a, b) for x in sets]})
+
+    # annotations as objects, which the kind of function is told by
+    run.__annotations__ = {"column": pd.Series, "return": pd.DataFrame}
+    return docs.select("id", F.pandas_udf(run, "digest binary, sig array<bigint>")("hashes").alias("s")).select("id", "s.*")
+
+
 def signature_similarity(a: Column, b: Column) -> Column:
     """Share of equal places; 0 for signatures of different lengths or none."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))

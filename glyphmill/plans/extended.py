@@ -112,9 +112,9 @@ def dependence_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def all_similar(spark: SparkSession, d: str) -> DataFrame:
     """Pairs between classes of equal shingle sets whose signatures of 128 minima agree in four of five places or more."""
-    docs = similar.hashes(spark, d)
-    docs = docs.join(minhash.set_classes(docs).where("id = rep").select("id"), "id", "left_semi")
-    return discovery.all_similar(cut(docs.select("id", minhash.signature(F.col("hashes"), 128).alias("sig"))), 128, 0.8)
+    docs = cut(minhash.signed_sets(similar.hashes(spark, d), 128))
+    first = docs.groupBy("digest").agg(F.min("id").alias("id")).select("id")
+    return discovery.all_similar(docs.join(first, "id", "left_semi").select("id", "sig"), 128, 0.8)
 
 
 def flow(spark: SparkSession, d: str) -> DataFrame:
