@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import checkpoints, clones, dataflow, discovery, indexed, repeats, shingled
+from glyphmill.operators import checkpoints, clones, dataflow, discovery, indexed, repeats
 
 
 def _split(c):

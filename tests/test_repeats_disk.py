@@ -5,6 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 from glyphmill.operators import repeats
+from glyphmill.plans import extended
+
+from .conftest import SF
 
 
 def test_no_rounds_of_classes_are_written(spark):
@@ -19,3 +22,10 @@ def test_no_rounds_of_classes_are_written(spark):
     assert len(common) == 297 and sorted(r.length for r in common) == list(range(4, 301)) and sum(r.maximal for r in common) == 1
     assert {(r.occurrences, r.documents, r.length, r.maximal) for r in out if r.occurrences != 60} == {(20, 20, 4, False)}
     assert len(out) == 300
+
+
+def test_maximal_repeats_query_leaves_no_copies(spark):
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = sorted(os.listdir(folder))
+    rows = extended.maximal_repeats(spark, SF).select(F.count("*").alias("n"), F.min("occurrences").alias("least"), F.min("length").alias("short")).first()
+    assert rows.n and rows.least >= 2 and rows.short >= 20 and sorted(os.listdir(folder)) == before
