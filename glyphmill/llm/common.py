@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from glyphmill.operators.checkpoints import folder
 
 _CHECKPOINT = "spark.checkpoint.dir"
+#: Whether a query's shuffle files go when it ends, read when a DataFrame is made.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows in one Arrow batch handed to Python, so that a batch of long texts stays small.
 _BATCH_ROWS = 1000
 
@@ -31,9 +33,16 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage there."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared checkpoint folder and cut its lineage there. The files of its shuffles, which nothing
+    reads again, go at once, not when the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    prepare(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
