@@ -1,8 +1,10 @@
 """Repeated token windows of a corpus, found without moving each window.
 
-Texts are dealt into chunks by their key. A chunk tells 40-bit hashes of its different windows, about three bytes each,
-to the hashes' ranges, and gets back a bit for each: whether another chunk has it too. Only windows that may be repeated
-get their md5 and go on, so a hash that two windows share costs a row but changes no result.
+Texts are dealt into chunks by their key. A window is looked for by its least part: of the runs of PART of its tokens
+the one of the least hash (the first of these), which windows side by side mostly share and equal windows always do. A
+chunk tells 40-bit hashes of its different least parts, about three bytes each, to the hashes' ranges, and gets back a
+bit for each: whether another chunk has it too. Only windows whose least part is at two places get their md5 and go on,
+so a part that different windows share costs rows but changes no result.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: bits of the hashes by which windows are looked for; 2^40 is 100 times the windows of 30 GB.
 BITS = 40
+#: Share of a window's tokens in one of its parts. Longer parts are more, shorter ones let more windows go on for nothing.
+PART = 0.6
 #: Bytes of input files for each chunk, and bytes of text that are hashed together.
 CHUNK, BLOCK = 2 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -47,8 +51,19 @@ def _hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - BITS)
 
 
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """For each run of n numbers the place of its least one, the first of these."""
+    place, width = np.arange(len(x)), 1
+    while width < n and len(place):
+        step = min(width, n - width)
+        a, b = place[:-step], place[step:]
+        place, width = np.where(x[b] < x[a], b, a), width + step
+    return place
+
+
 class Chunk:
-    """Texts (rows key, t: tokens joined by spaces) in order of their key; windows by document and start."""
+    """Texts (rows key, t: tokens joined by spaces) in order of their key; windows by document and start, and their least
+    parts (hash) by place; `part` numbers each window's."""
 
     def __init__(self, rows: pa.Table, key: str, size: int):
         rows = rows.take(pc.sort_indices(rows.column(key)))
@@ -62,8 +77,8 @@ class Chunk:
         self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if len(texts) else np.empty(0, np.uint8)
         self.size = size
         blocks = [self._block(a, b) for a, b in self._blocks()]
-        self.hash, self.row, self.start, self.s, self.e = (np.concatenate([x[i] for x in blocks]) if blocks else np.empty(0, np.int64) for i in range(5))
-        self.hash = self.hash.astype(np.uint64)
+        self.hash, new, self.row, self.start, self.s, self.e = (np.concatenate([x[i] for x in blocks]) if blocks else np.empty(0, np.int64) for i in range(6))
+        self.hash, self.part = self.hash.astype(np.uint64), np.cumsum(new, dtype=np.int32) - 1
         self.different, self.counts = np.unique(self.hash, return_counts=True)
 
     def _blocks(self):
@@ -88,8 +103,15 @@ class Chunk:
         start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
         at = start + (last - count)[row]
         s, e = begins[at], ends[at + self.size - 1]
+        # parts that run over a text's end are in no window
+        tokens = max(1, round(self.size * PART))
+        parts = _hashes(data, begins[: max(0, len(begins) - tokens + 1)], ends[tokens - 1 :])
+        place = _least(parts, self.size - tokens + 1)[at]
+        new = np.diff(place, prepend=-1) > 0
+        # least hashes are small: spread anew over all their bits
+        found = parts[place[new]] * np.uint64(_BASE) >> np.uint64(64 - BITS)
         # places fit 32 bits within a chunk's documents
-        return _hashes(data, s, e), (row + a).astype(np.int32), start.astype(np.int32), s + low, (e - s).astype(np.int32)
+        return found, new, (row + a).astype(np.int32), start.astype(np.int32), s + low, (e - s).astype(np.int32)
 
     def splits(self, buckets: int) -> np.ndarray:
         """Bounds of the ranges' hashes among the different ones."""
@@ -101,7 +123,7 @@ class Chunk:
         for bucket, bits in zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True):
             n = split[bucket + 1] - split[bucket]
             again[split[bucket] : split[bucket + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-        at = np.flatnonzero(again[np.searchsorted(self.different, self.hash)])
+        at = np.flatnonzero(again[np.searchsorted(self.different, self.hash)][self.part])
         text, md5 = memoryview(self.data), hashlib.md5
         s, n = self.s[at], self.e[at]
         found = np.empty((len(at), 2), np.int64)
